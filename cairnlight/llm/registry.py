@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pieces", "chat", "quality_rules")
+MODULES = ("pieces", "chat", "licenses", "quality_rules")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
