@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pieces", "chat", "licenses", "resampling", "quality_rules")
+MODULES = ("pieces", "chat", "decontamination", "licenses", "resampling", "quality_rules")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
