@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pieces", "chat", "decontamination", "warc", "neural_lm", "licenses", "resampling", "quality_rules")
+MODULES = ("pieces", "chat", "decontamination", "warc", "neural_lm", "suffix_dedup", "jaccard_join", "licenses", "resampling", "quality_rules")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
