@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .common import read
@@ -292,7 +293,7 @@ def encoded(documents: DataFrame, model_file: str) -> DataFrame:
             ids = [[int(i) for e in entries if e[0] for i in e[0].split(",")] for entries in v.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([v.differ - before] * len(keys), pa.int64())], ["doc_id", "ids", "n_differ"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_differ long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_differ long")
 
 
 def decoded_texts(ids: DataFrame, model_file: str) -> DataFrame:
@@ -321,7 +322,26 @@ def round_trips(documents: DataFrame, model_file: str) -> DataFrame:
                 back.append(hashlib.sha256(decoded([e[2] for e in entries]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_texts(documents: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, n_tokens, ids and text, which is decoded from the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model_file)
+        for batch in tk.slices(batches):
+            keys, texts = _texts(batch)
+            ids, back = [], []
+            for entries in v.encode(texts):
+                ids.append(np.array([i for e in entries for i in e[0].split(",")], np.int32))
+                back.append(decoded([e[2] for e in entries]))
+            n = [len(x) for x in ids]
+            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), lists, pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
 
 
 def model_path() -> str:
