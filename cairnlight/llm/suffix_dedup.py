@@ -141,9 +141,8 @@ def settled(key: np.ndarray, run: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     run that has another first document."""
     by = np.argsort(key, kind="stable")
     k = key[by]
-    same = k[1:] == k[:-1]
-    some = np.r_[False, same] | np.r_[same, False]
-    by = by[some]
+    same = np.flatnonzero(k[1:] == k[:-1])
+    by = by[np.union1d(same, same + 1)]
     if not len(by):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     by = by[np.lexsort((doc[by], run[by], key[by]))]
