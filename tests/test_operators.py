@@ -53,7 +53,7 @@ def test_claim_markers(spark):
 
 
 def test_query_terms(spark):
-    assert one(spark, tx.query_terms(F.col("q")), q="LyraWeaponInstance.h") == ["lyraweaponinstance", "h"]
+    assert one(spark, tx.query_terms(F.col("q")), q="IronAnvilInstance.h") == ["ironanvilinstance", "h"]
     assert one(spark, tx.query_terms(F.col("q")), q="...") == []
 
 
