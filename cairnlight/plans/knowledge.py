@@ -266,6 +266,29 @@ _STATUS = """SELECT u.library, u.id, CASE WHEN bool_or(severity = 'quarantine')
 
 _REQUIRED = "required(tier, kind) AS (VALUES " + ", ".join(f"('{t}', '{k}')" for t, ks in units.REQUIRED.items() for k in ks) + ")"
 
+_MENTIONS = f""",
+qt AS (SELECT library, relative, id, title, unnest(regexp_extract_all(body, '`([^`]+)`', 1)) AS tok, generate_subscripts(regexp_extract_all(body, '`([^`]+)`', 1), 1) AS n FROM u),
+qs AS (SELECT library, relative, id, title, {_NORMAL("tok")} AS symbol, min(n) AS n FROM qt WHERE {_ISSYM(_NORMAL("tok"))} GROUP BY library, relative, id, title, {_NORMAL("tok")}),
+pt2 AS (SELECT library, relative, id, title, unnest(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]{{{{3,}}}}')) AS symbol, generate_subscripts(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]{{{{3,}}}}'), 1) AS n FROM u),
+ps AS (SELECT library, relative, id, title, symbol, min(n) AS n FROM pt2 WHERE symbol LIKE '%\\_%' ESCAPE '\\' AND regexp_matches(symbol, '[A-Za-z]') OR length(regexp_replace(symbol, '[^A-Z]', '', 'g')) >= 2 AND regexp_matches(symbol, '[a-z]') GROUP BY library, relative, id, title, symbol)""".replace("{{", "{").replace("}}", "}")
+
+#: References with where they resolve; ``claims`` and ``cl`` of _CLAIMS are other lists, so these have names of their own.
+_REFS = _MENTIONS + f""",
+ce AS (SELECT library, relative, id, title, ord, txt FROM bullets WHERE lower(title) = 'evidence'),
+{_EVIDENCE.replace("FROM cl)", "FROM ce)").replace("ev_t", "re_t").replace("ev_k", "re_k").replace("ev AS", "re AS")},
+rr AS (SELECT library, relative, id, symbol, 'evidence' AS ref_kind, file AS claimed_file, true AS quoted FROM re WHERE symbol IS NOT NULL
+  UNION ALL SELECT library, relative, id, symbol, 'mention', NULL, true FROM qs WHERE lower(title) <> 'evidence'
+  UNION ALL SELECT library, relative, id, symbol, 'mention', NULL, false FROM ps WHERE lower(title) <> 'evidence' AND NOT EXISTS (SELECT 1 FROM qs WHERE qs.library = ps.library AND qs.relative = ps.relative AND qs.id = ps.id AND qs.symbol = ps.symbol)),
+refs AS (SELECT rr.*, k.resolved_file FROM rr LEFT JOIN keys k ON rr.symbol = k.k WHERE ref_kind = 'evidence' OR quoted OR k.resolved_file IS NOT NULL)"""
+
+_GRADED = _VERIFIED + _BROKEN.replace(_ITEMS, "") + _REFS + f""",
+stat AS ({_STATUS}),
+rc AS (SELECT library, id, count(*) FILTER (WHERE ref_kind = 'evidence' AND resolved_file IS NOT NULL) AS prim, count(*) FILTER (WHERE resolved_file IS NOT NULL) AS res, count(*) FILTER (WHERE resolved_file IS NULL) AS unres FROM refs GROUP BY library, id),
+cc AS (SELECT library, id, count(*) AS n, count(*) FILTER (WHERE source = 'extracted' AND verification = 'verified') AS good, count(*) FILTER (WHERE verification IN ('drift', 'unresolved')) AS drift, count(*) FILTER (WHERE source = 'extracted' AND verification = 'unverifiable') AS unver FROM ver GROUP BY library, id),
+gr AS (SELECT u.library || '|' || u.id AS id, stat.status, length(u.body) AS chars, coalesce(prim, 0) AS prim, coalesce(res, 0) AS res, coalesce(unres, 0) AS unres, coalesce(cc.n, 0) AS n, coalesce(good, 0) AS good, coalesce(cc.drift, 0) AS drift, coalesce(unver, 0) AS unver
+  FROM u JOIN stat ON stat.library = u.library AND stat.id = u.id LEFT JOIN rc ON rc.library = u.library AND rc.id = u.id LEFT JOIN cc ON cc.library = u.library AND cc.id = u.id),
+lv AS (SELECT *, CASE WHEN status = 'degraded' THEN 'insufficient' WHEN (prim >= 1 OR res >= 3 OR good >= 1) AND (n >= 1 OR chars >= 200) THEN 'sufficient' WHEN chars >= 200 OR n >= 1 OR res >= 1 THEN 'partial' ELSE 'insufficient' END AS level FROM gr)"""
+
 _W = "WITH RECURSIVE "
 ORACLES = {
     "split_units": _W + UNITS + " SELECT * FROM u",
@@ -306,4 +329,14 @@ ORACLES = {
       UNION ALL SELECT * FROM (SELECT DISTINCT p.path, 'dependents', e.source_file FROM kedges e JOIN kpaths p ON regexp_extract(e.target_symbol, '([^/]*)$', 1) = regexp_extract(p.path, '([^/]*)$', 1) WHERE relation IN ('import', 'include')) q""",
     "language_dispatch": "WITH " + values("kfiles") + " SELECT path, CASE regexp_extract(path, '\\.([^.]+)$', 1) WHEN 'h' THEN 'cpp' WHEN 'cpp' THEN 'cpp' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' ELSE 'typescript' END AS language, path IN ('src/bellows.py', 'src/yard.ts') AS excluded FROM kfiles",
     "placeholder_resolution": "WITH " + values("ktemplates") + " SELECT id, replace(replace(text, '${HOME_DIR}', '/home/smith'), '${API_KEY}', 'k-1') AS text, CASE WHEN text LIKE '%${NOPE}%' THEN 'NOPE' ELSE '' END AS missing FROM ktemplates",
+    "symbol_mentions": _W + UNITS + _MENTIONS + """ SELECT u.library, u.id, coalesce((SELECT string_agg(symbol, ',' ORDER BY n) FROM qs WHERE qs.library = u.library AND qs.id = u.id), '') AS quoted,
+      coalesce((SELECT string_agg(symbol, ',' ORDER BY n) FROM ps WHERE ps.library = u.library AND ps.id = u.id), '') AS plain FROM u""",
+    "reference_rows": _W + UNITS + _ITEMS + _KEYS + _REFS + """ SELECT library, id, symbol, ref_kind, coalesce(resolved_file, claimed_file) AS shown_file, resolved_file IS NOT NULL AS resolved,
+      ref_kind = 'evidence' AND resolved_file IS NOT NULL AND claimed_file IS NOT NULL AND claimed_file <> resolved_file AS drift FROM refs""",
+    "answerability": _W + UNITS + _GRADED + " SELECT id, status, level, CASE level WHEN 'sufficient' THEN 'proceed_with_evidence' WHEN 'partial' THEN 'proceed_with_caveats' ELSE 'fallback_to_source' END AS action FROM lv",
+    "packet_warnings": _W + UNITS + _GRADED + """ SELECT id, concat_ws(',', CASE WHEN status = 'degraded' THEN 'degraded' END, CASE WHEN unres > 0 THEN 'unresolved-refs' END, CASE WHEN prim = 0 THEN 'no-primary-evidence' END, CASE WHEN n = 0 THEN 'no-claims' END, CASE WHEN drift > 0 THEN 'drifted-claims' END, CASE WHEN unver > 0 THEN 'unverifiable-claims' END) AS warnings FROM lv""",
+    "tagged_output": _W + UNITS + """ SELECT library, id, '<unit id="' || replace(replace(replace(replace(id, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"><![CDATA[' || replace(body, ']]>', ']]]]><![CDATA[>') || ']]></unit>' AS tagged,
+      CASE WHEN length(body) > 40 THEN substr(replace(body, chr(10), ' '), 1, 40) || '…' ELSE replace(body, chr(10), ' ') END AS brief FROM u""",
+    "lesson_context": _W + UNITS + _MATTER + f""", li AS (SELECT library, relative, ',' || {_LIST('applies_when')} || ',' AS a, ',' || {_LIST('excludes')} || ',' AS x FROM m)
+      SELECT library, relative, CASE WHEN x LIKE '%,winter,%' THEN 0.5e0 WHEN a LIKE '%,winter,%' THEN 1.25e0 WHEN a <> ',,' THEN 0.85e0 ELSE 1e0 END AS multiplier, CASE WHEN x LIKE '%,winter,%' THEN 'excluded' WHEN a LIKE '%,winter,%' THEN 'match' WHEN a <> ',,' THEN 'mismatch' END AS badge FROM li""",
 }
