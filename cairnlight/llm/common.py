@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -63,8 +64,10 @@ def dropped(*tables: DataFrame) -> None:
 
 def let_go(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files that finished stages no longer need."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets the JVM see what Python has dropped
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ LENGTH = 50
 KEY = 24
 PIECE = 1 << 18
 PLACE_BITS = 19  # of a position within a piece
-BUCKET_BYTES = 8_000_000  # of text, for one group of ranks
+BUCKET_BYTES = 16_000_000  # of text, for one group of ranks
+NAME_BYTES = 6  # of a name that are sent; a key's topmost bits are its bucket's number besides
 COUNT_BITS = 16
 
 _A, _B = U(0x9FB21C651E98DF25), U(0xD1342543DE82EF95)
@@ -157,7 +160,27 @@ def settled(key: np.ndarray, run: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     return by[later], by[~later & mixed]
 
 
-BLOB = "bucket int, keys binary, names binary, docs binary, tags binary, offsets binary, counts binary, settled boolean"
+BLOB = "bucket int, n int, keys binary, names binary, docs binary, places binary, settled boolean"
+
+
+def short(x: np.ndarray) -> bytes:
+    """The low NAME_BYTES of each name."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]).tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    n = len(data) // NAME_BYTES
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :NAME_BYTES] = np.frombuffer(data, np.uint8).reshape(n, NAME_BYTES)
+    return out.reshape(-1).view(U)
+
+
+def in_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's bucket and what is left of it, spread over the low bits: the two give the key back but for its lowest bits."""
+    high = key >> U(32)
+    bucket = high * U(buckets) >> U(32)
+    rest = (high * U(buckets) & U(0xFFFFFFFF)) << U(16) | (key & U(0xFFFFFFFF)) >> U(16)
+    return bucket.astype(np.int64), rest
 
 
 def _prepared(documents: DataFrame) -> DataFrame:
@@ -168,34 +191,58 @@ def _prepared(documents: DataFrame) -> DataFrame:
 def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
     """Each batch's entries, a row for a bucket of names; copies within the batch are settled."""
 
-    def rows(key, name, doc, tag, offset, count, bucket, done) -> pa.RecordBatch:
+    def rows(key, name, doc, tag, offset, count, bucket, done) -> Iterator[pa.RecordBatch]:
         by = np.argsort(bucket, kind="stable")
-        cuts = np.r_[0, np.flatnonzero(np.diff(bucket[by])) + 1, len(by)] if len(by) else np.array([0])
-        parts = [by[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        kinds = ((key, U), (name, U), (doc, np.int64), (tag, np.uint32), (offset, np.uint32), (count, np.uint16))
-        columns = [pa.array([x[p].astype(t).tobytes() for p in parts], pa.binary()) for x, t in kinds]
-        return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *columns, pa.array([done] * len(parts), pa.bool_())], [f.split()[0] for f in BLOB.split(", ")])
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket[by])) + 1, len(by)]
+        out: list[list] = [[] for _ in range(7)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            p = by[a:b]
+            if not len(p):
+                continue
+            # entries stand in order of their documents: a document is named once, places are differences
+            new = np.flatnonzero(np.r_[True, (doc[p][1:] != doc[p][:-1]) | (tag[p][1:] != tag[p][:-1])])
+            docs = np.concatenate([doc[p][new], tag[p][new], np.diff(np.r_[new, len(p)])]).astype(np.int64)
+            places = np.concatenate([np.diff(offset[p], prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.ravel(), count[p].astype(np.uint16).view(np.uint8).reshape(-1, 2).T.ravel()])
+            for column, value in zip(out, (int(bucket[p[0]]), len(p), short(key[p]), short(name[p]), zlib.compress(docs.view(np.uint8).reshape(-1, 8).T.tobytes(), 1), zlib.compress(places.tobytes(), 1), done), strict=True):
+                column.append(value)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOB.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=8_000_000):
+        for batch in tk.slices(batches, size=3_000_000):
             ids, tags = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
             got = list(runs(tk.texts(batch), length))
             if not got:
                 continue
             text, offset, count, key, name = (np.concatenate([g[k] for g in got]) for k in range(5))
+            del got
             doc, tag = ids[text], tags[text]
             later, _ = settled(key, name, doc)
-            bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            bucket, key = in_bucket(key, buckets)
             if len(later):
                 p = np.sort(later)
-                yield rows(key[p], name[p] & U(0), doc[p], tag[p], offset[p], count[p], np.zeros(len(p), np.int64) + int(ids[0]) % buckets, True)
+                yield from rows(key[p] & U(0), name[p] & U(0), doc[p], tag[p], offset[p], count[p], np.zeros(len(p), np.int64) + int(ids[0]) % buckets, True)
             rest = np.ones(len(doc), bool)
             rest[later] = False
-            yield rows(*(x[rest] for x in (key, name, doc, tag, offset, count)), bucket[rest], False)
+            yield from rows(*(x[rest] for x in (key, name, doc, tag, offset, count)), bucket[rest], False)
 
     return prepared.where("doc_id is not null").mapInArrow(run, BLOB)
 
 
+def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, name, doc, tag, offset, count of a table's entries."""
+    parts = []
+    for n, keys, names, docs, places in zip(*[table.column(c).to_pylist() for c in ("n", "keys", "names", "docs", "places")], strict=True):
+        d = np.frombuffer(zlib.decompress(docs), np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(3, -1)
+        p = np.frombuffer(zlib.decompress(places), np.uint8)
+        offset = np.cumsum(p[: 4 * n].reshape(4, n).T.copy().view(np.int32).ravel())
+        count = p[4 * n :].reshape(2, n).T.copy().view(np.uint16).ravel()
+        parts.append((long(keys), long(names), np.repeat(d[0], d[2]), np.repeat(d[1], d[2]), offset, count))
+    if not parts:
+        return tuple(np.empty(0, t) for t in (U, U, np.int64, np.int64, np.int64, np.int64))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(6))
+
+
 MARK = "doc_id long, tag long, mark long, open boolean"
 
 
@@ -203,16 +250,10 @@ def ranked_runs(blobs: DataFrame) -> DataFrame:
     """Marks (offset and windows of a run) that are settled or open, from the sorted pairs of each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        done = np.asarray(table.column("settled"))
-        kinds = (("keys", U), ("names", U), ("docs", np.int64), ("tags", np.uint32), ("offsets", np.uint32), ("counts", np.uint16))
-
-        def all_of(which: np.ndarray) -> list[np.ndarray]:
-            part = table.filter(pa.array(which))
-            return [np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in kinds]
-
-        key, name, doc, tag, offset, count = all_of(~done)
+        done = table.column("settled")
+        key, name, doc, tag, offset, count = unpacked(table.filter(pc.invert(done)))
         later, open_ = settled(key, name, doc)
-        _, _, doc0, tag0, offset0, count0 = all_of(done)
+        _, _, doc0, tag0, offset0, count0 = unpacked(table.filter(done))
         at = np.concatenate([later, open_])
         mark = lambda o, c: (o.astype(np.int64) << COUNT_BITS) | c.astype(np.int64)
         return pa.table(
