@@ -45,7 +45,7 @@ LENGTH = 50
 KEY = 24
 PIECE = 1 << 18
 PLACE_BITS = 19  # of a position within a piece
-BUCKET_BYTES = 16_000_000  # of text, for one group of ranks
+BUCKET_BYTES = 4_000_000  # of text, for one group of ranks
 NAME_BYTES = 6  # of a name that are sent; a key's topmost bits are its bucket's number besides
 COUNT_BITS = 16
 
@@ -209,7 +209,7 @@ def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOB.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=3_000_000):
+        for batch in tk.slices(batches, size=2_000_000):
             ids, tags = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
             got = list(runs(tk.texts(batch), length))
             if not got:
@@ -225,6 +225,8 @@ def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
             rest = np.ones(len(doc), bool)
             rest[later] = False
             yield from rows(*(x[rest] for x in (key, name, doc, tag, offset, count)), bucket[rest], False)
+            del text, offset, count, key, name, doc, tag, bucket, rest, later
+        tk.give_back()
 
     return prepared.where("doc_id is not null").mapInArrow(run, BLOB)
 
@@ -256,6 +258,7 @@ def ranked_runs(blobs: DataFrame) -> DataFrame:
         _, _, doc0, tag0, offset0, count0 = unpacked(table.filter(done))
         at = np.concatenate([later, open_])
         mark = lambda o, c: (o.astype(np.int64) << COUNT_BITS) | c.astype(np.int64)
+        tk.give_back()
         return pa.table(
             {
                 "doc_id": np.concatenate([doc[at], doc0]),

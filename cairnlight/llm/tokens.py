@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +36,14 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker's next stage would otherwise add its own to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finalizer of splitmix64)."""
     x = x ^ (x >> U(30))
