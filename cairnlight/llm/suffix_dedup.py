@@ -11,8 +11,9 @@ to a larger offset, until they are unique or past ``length``. Three measures kee
   smallest name in a window of ``length`` bytes. Equal windows choose equal positions, so a repeated string always meets
   its other copies there. Windows in a row that choose one position form a run.
 * A round's positions are sorted by pairs (name of KEY bytes, name of the whole run). Runs that are equal to one of a
-  smaller document are removed as a whole. Only where different runs share their KEY bytes, a last round ranks each
-  single window of the first documents' runs by its pair of names at the largest power of two: 128 bits.
+  smaller document are removed as a whole. Of other runs that share their KEY bytes, those stay that also share half of
+  what a window adds to them, on the left or on the right: a common window has one of the two. A last round ranks each
+  single window of the first documents' runs that stay by its pair of names at the largest power of two: 128 bits.
 
 Positions whose KEY bytes stand in one document only have left after the first round; later copies of a run have left
 after the second. So copies cost a row each and never meet in pairs. Within a task, copies are settled before anything
@@ -43,8 +44,8 @@ from .tokens import U
 
 LENGTH = 50
 KEY = 24
-PIECE = 1 << 18
-PLACE_BITS = 19  # of a position within a piece
+PIECE = 1 << 17
+PLACE_BITS = 18  # of a position within a piece
 BUCKET_BYTES = 4_000_000  # of text, for one group of ranks
 NAME_BYTES = 6  # of a name that are sent; a key's topmost bits are its bucket's number besides
 COUNT_BITS = 16
@@ -96,7 +97,11 @@ def top(length: int) -> int:
 
 
 def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For pieces of the texts: (text, offset, windows, name of KEY bytes, name of the run) of each run."""
+    """For pieces of the texts: (text, offset, windows, name of KEY bytes, name of the run, left side, right side) of each run.
+
+    A side is 1 to 255 from the name of ``half`` bytes beside the key, or 0 where the run doesn't reach so far.
+    """
+    half = (length - KEY + 1) // 2
     held: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -125,7 +130,10 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         k = np.searchsorted(begin, first, "right") - 1
         text = np.array([t for t, _, _ in held])[k]
         offset = np.array([o for _, o, _ in held])[k] + first - begin[k]
-        return text, offset, count, key[chosen[first]], paired(whole[first], whole[last] + count.astype(U))
+        at, beside = chosen[first], names.of(half)
+        side = lambda p, there: np.where(there, (beside[np.clip(p, 0, len(beside) - 1)] % U(255)).astype(np.int64) + 1, 0)
+        left, right = side(at - half, at - half >= first), side(at + KEY, at + KEY + half <= last + length)
+        return text, offset, count, key[at], paired(whole[first], whole[last] + count.astype(U)), left, right
 
     for t, data in enumerate(texts):
         for at in range(0, len(data) - length + 1, PIECE):
@@ -139,9 +147,9 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield ranked()
 
 
-def settled(key: np.ndarray, run: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(later, open): entries equal to a run of a smaller document; entries not so whose KEY bytes also stand in another
-    run that has another first document."""
+def settled(key: np.ndarray, run: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, open): entries equal to a run of a smaller document; entries not so that share their KEY bytes and a side
+    with another run that has another first document."""
     by = np.argsort(key, kind="stable")
     k = key[by]
     same = np.flatnonzero(k[1:] == k[:-1])
@@ -154,13 +162,20 @@ def settled(key: np.ndarray, run: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     new_run = new_key | np.r_[True, r[1:] != r[:-1]]
     first = d[np.maximum.accumulate(np.where(new_run, np.arange(len(d)), 0))]
     later = d > first
-    at = np.flatnonzero(new_key)
-    low, high = np.minimum.reduceat(first, at), np.maximum.reduceat(first, at)
-    mixed = np.repeat(low < high, np.diff(np.r_[at, len(d)]))
-    return by[later], by[~later & mixed]
+    group = np.cumsum(new_key) << 8
+    open_ = np.zeros(len(d), bool)
+    for side in (left[by], right[by]):
+        has = np.flatnonzero(side)
+        has = has[np.argsort(group[has] + side[has], kind="stable")]
+        if len(has):
+            code = group[has] + side[has]
+            at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            low, high = np.minimum.reduceat(first[has], at), np.maximum.reduceat(first[has], at)
+            open_[has] |= np.repeat(low < high, np.diff(np.r_[at, len(has)]))
+    return by[later], by[~later & open_]
 
 
-BLOB = "bucket int, n int, keys binary, names binary, docs binary, places binary, settled boolean"
+BLOB = "bucket int, n int, keys binary, names binary, sides binary, docs binary, places binary, settled boolean"
 
 
 def short(x: np.ndarray) -> bytes:
@@ -191,10 +206,10 @@ def _prepared(documents: DataFrame) -> DataFrame:
 def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
     """Each batch's entries, a row for a bucket of names; copies within the batch are settled."""
 
-    def rows(key, name, doc, tag, offset, count, bucket, done) -> Iterator[pa.RecordBatch]:
+    def rows(key, name, left, right, doc, tag, offset, count, bucket, done) -> Iterator[pa.RecordBatch]:
         by = np.argsort(bucket, kind="stable")
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket[by])) + 1, len(by)]
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             p = by[a:b]
             if not len(p):
@@ -203,9 +218,9 @@ def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
             new = np.flatnonzero(np.r_[True, (doc[p][1:] != doc[p][:-1]) | (tag[p][1:] != tag[p][:-1])])
             docs = np.concatenate([doc[p][new], tag[p][new], np.diff(np.r_[new, len(p)])]).astype(np.int64)
             places = np.concatenate([np.diff(offset[p], prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.ravel(), count[p].astype(np.uint16).view(np.uint8).reshape(-1, 2).T.ravel()])
-            for column, value in zip(out, (int(bucket[p[0]]), len(p), short(key[p]), short(name[p]), zlib.compress(docs.view(np.uint8).reshape(-1, 8).T.tobytes(), 1), zlib.compress(places.tobytes(), 1), done), strict=True):
+            for column, value in zip(out, (int(bucket[p[0]]), len(p), short(key[p]), short(name[p]), np.concatenate([left[p], right[p]]).astype(np.uint8).tobytes(), zlib.compress(docs.view(np.uint8).reshape(-1, 8).T.tobytes(), 1), zlib.compress(places.tobytes(), 1), done), strict=True):
                 column.append(value)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOB.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +229,17 @@ def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
             got = list(runs(tk.texts(batch), length))
             if not got:
                 continue
-            text, offset, count, key, name = (np.concatenate([g[k] for g in got]) for k in range(5))
+            text, offset, count, key, name, left, right = (np.concatenate([g[k] for g in got]) for k in range(7))
             del got
             doc, tag = ids[text], tags[text]
-            later, _ = settled(key, name, doc)
+            later, _ = settled(key, name, doc, left, right)
             bucket, key = in_bucket(key, buckets)
             if len(later):
                 p = np.sort(later)
-                yield from rows(key[p] & U(0), name[p] & U(0), doc[p], tag[p], offset[p], count[p], np.zeros(len(p), np.int64) + int(ids[0]) % buckets, True)
+                yield from rows(key[p] & U(0), name[p] & U(0), left[p], right[p], doc[p], tag[p], offset[p], count[p], np.zeros(len(p), np.int64) + int(ids[0]) % buckets, True)
             rest = np.ones(len(doc), bool)
             rest[later] = False
-            yield from rows(*(x[rest] for x in (key, name, doc, tag, offset, count)), bucket[rest], False)
+            yield from rows(*(x[rest] for x in (key, name, left, right, doc, tag, offset, count)), bucket[rest], False)
             del text, offset, count, key, name, doc, tag, bucket, rest, later
         tk.give_back()
 
@@ -232,17 +247,17 @@ def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, name, doc, tag, offset, count of a table's entries."""
+    """key, name, doc, tag, offset, count, left and right side of a table's entries."""
     parts = []
-    for n, keys, names, docs, places in zip(*[table.column(c).to_pylist() for c in ("n", "keys", "names", "docs", "places")], strict=True):
+    for n, keys, names, sides, docs, places in zip(*[table.column(c).to_pylist() for c in ("n", "keys", "names", "sides", "docs", "places")], strict=True):
         d = np.frombuffer(zlib.decompress(docs), np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(3, -1)
         p = np.frombuffer(zlib.decompress(places), np.uint8)
         offset = np.cumsum(p[: 4 * n].reshape(4, n).T.copy().view(np.int32).ravel())
         count = p[4 * n :].reshape(2, n).T.copy().view(np.uint16).ravel()
-        parts.append((long(keys), long(names), np.repeat(d[0], d[2]), np.repeat(d[1], d[2]), offset, count))
+        parts.append((long(keys), long(names), np.repeat(d[0], d[2]), np.repeat(d[1], d[2]), offset, count, np.frombuffer(sides, np.uint8, n), np.frombuffer(sides, np.uint8, n, n)))
     if not parts:
-        return tuple(np.empty(0, t) for t in (U, U, np.int64, np.int64, np.int64, np.int64))
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(6))
+        return tuple(np.empty(0, t) for t in (U, U, *[np.int64] * 6))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(8))
 
 
 MARK = "doc_id long, tag long, mark long, open boolean"
@@ -253,9 +268,9 @@ def ranked_runs(blobs: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         done = table.column("settled")
-        key, name, doc, tag, offset, count = unpacked(table.filter(pc.invert(done)))
-        later, open_ = settled(key, name, doc)
-        _, _, doc0, tag0, offset0, count0 = unpacked(table.filter(done))
+        key, name, doc, tag, offset, count, left, right = unpacked(table.filter(pc.invert(done)))
+        later, open_ = settled(key, name, doc, left.astype(np.int64), right.astype(np.int64))
+        _, _, doc0, tag0, offset0, count0, _, _ = unpacked(table.filter(done))
         at = np.concatenate([later, open_])
         mark = lambda o, c: (o.astype(np.int64) << COUNT_BITS) | c.astype(np.int64)
         tk.give_back()
