@@ -2,8 +2,10 @@
 
 Two generative models of hashed n-grams (words and marks, and pairs of them): one of the target texts, which are the
 labelled documents of good quality and without abuse, and one of the raw text, which is every document. A document's
-log weight is the sum of log(target / raw) over its n-grams, shrunk: an n-gram counts only where the target model is
+log ratio is the mean of log(target / raw) over its n-grams, shrunk: an n-gram counts only where the target model is
 significantly below the raw one, in each of two independent hash rows, so that neither chance nor a collision weighs.
+Its weight is that mean in standard deviations of the labelled good documents, whose variance is fitted as a constant
+plus a share that falls with the number of n-grams: a text's length alone does not move its weight.
 Documents are then drawn without replacement in proportion to their weights by Gumbel top-k: the k largest of
 log weight / temperature + Gumbel noise, with noise that is a function of doc_id. k is the number of documents whose
 weight is at least that of all but ``spare`` of the labelled good ones.
@@ -93,14 +95,35 @@ def gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def weights(batch: pa.RecordBatch, ratio: np.ndarray, temperature: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log weights and keys of a batch with columns doc_id and text; NaN without n-grams."""
-    ids = np.asarray(batch.column(batch.schema.get_field_index("doc_id")).fill_null(-1), np.int64)
-    w = np.full(batch.num_rows, np.nan)
+def means(batch: pa.RecordBatch, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log ratio of each text's n-grams, NaN without any, and their number."""
+    mean, n = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows)
     for k, t in enumerate(tk.texts(batch)):
         places = n_grams(t)
-        if places.shape[1]:
-            w[k] = ratio[places].max(0).sum(dtype=np.float64)
+        n[k] = places.shape[1]
+        if n[k]:
+            mean[k] = ratio[places].max(0).mean(dtype=np.float64)
+    return mean, n
+
+
+def spread(mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Centre of ``mean``, and the two parts of its variance, a + b / n (least squares)."""
+    if not len(mean):
+        return np.array([0.0, 1.0, 0.0])
+    centre = mean.mean()
+    root = np.sqrt(n)
+    a, b = np.linalg.lstsq(np.stack([root, 1 / root], 1), (mean - centre) ** 2 * root, rcond=None)[0]
+    return np.array([centre, max(a, 1e-6), max(b, 1e-4)])
+
+
+def standard(mean: np.ndarray, n: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    return (mean - fit[0]) / np.sqrt(fit[1] + fit[2] / np.maximum(n, 1))
+
+
+def weights(batch: pa.RecordBatch, ratio: np.ndarray, fit: np.ndarray, temperature: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and keys of a batch with columns doc_id and text; NaN without n-grams."""
+    ids = np.asarray(batch.column(batch.schema.get_field_index("doc_id")).fill_null(-1), np.int64)
+    w = standard(*means(batch, ratio), fit)
     return w, w + temperature * gumbel(ids, seed)
 
 
@@ -130,10 +153,10 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float:
 
 
 class Sampler:
-    """A fitted model: the shrunk ratio of every place, and the key that a kept document has at least."""
+    """A fitted model: the shrunk ratio of every place, good documents' spread, and the key that a kept one has at least."""
 
-    def __init__(self, ratio: np.ndarray, least: float, temperature: float, seed: int) -> None:
-        self.ratio, self.least, self.temperature, self.seed = ratio, least, temperature, seed
+    def __init__(self, ratio: np.ndarray, fit: np.ndarray, least: float, temperature: float, seed: int) -> None:
+        self.ratio, self.fit, self.least, self.temperature, self.seed = ratio, fit, least, temperature, seed
 
 
 def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, spare: float = 0.02, temperature: float = 0.05, seed: int = 6) -> tuple[Sampler, DataFrame]:
@@ -141,29 +164,40 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, sp
     ids, good = labelled(labels, max_labels)
     ratio = log_ratio(*counts(documents, ids, good))
     shared = documents.sparkSession.sparkContext.broadcast(ratio)
+    target = ids[good]
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches):
+            mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(0).fill_null(-1)), target)))
+            mean, n = means(mine, shared.value)
+            yield pa.RecordBatch.from_arrays([mine.column(0), pa.array(mean, from_pandas=True), pa.array(n)], ["doc_id", "mean", "n"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = texts.mapInArrow(known, "doc_id long, mean double, n double").where("mean is not null").groupBy("doc_id").agg(F.min("mean").alias("mean"), F.min("n").alias("n")).toPandas()
+    fit = spread(each["mean"].to_numpy(), each["n"].to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
-            w, key = weights(batch, shared.value, temperature, seed)
+            w, key = weights(batch, shared.value, fit, temperature, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], ["doc_id", "weight", "key"])
 
-    scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, weight double, key double"), "weights")
+    scored = written(texts.mapInArrow(run, "doc_id long, weight double, key double"), "weights")
     least = -math.inf
     if good.any():
         mine = scored.join(F.broadcast(scored.sparkSession.createDataFrame([(int(i),) for i in ids[good]], "doc_id long")), "doc_id", "left_semi")
         least = mine.agg(F.percentile_approx("weight", F.lit(spare), F.lit(10_000))).first()[0]
     k = scored.where(F.col("weight") >= (least if least is not None else -math.inf)).count()
-    return Sampler(ratio, kth_largest(scored, "key", k), temperature, seed), scored
+    return Sampler(ratio, fit, kth_largest(scored, "key", k), temperature, seed), scored
 
 
 def kept_documents(documents: DataFrame, sampler: Sampler) -> DataFrame:
     """The rows of ``documents`` that were drawn, all columns."""
     shared = documents.sparkSession.sparkContext.broadcast(sampler.ratio)
-    least, temperature, seed = sampler.least, sampler.temperature, sampler.seed
+    fit, least, temperature, seed = sampler.fit, sampler.least, sampler.temperature, sampler.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
-            _, key = weights(batch, shared.value, temperature, seed)
+            _, key = weights(batch, shared.value, fit, temperature, seed)
             yield batch.filter(pa.array(key >= least))
 
     return documents.mapInArrow(run, documents.schema)

@@ -75,3 +75,20 @@ def test_resampling_of_odd_rows(spark, odd, none):
     assert scored.count() == odd.count() and rs.kept_documents(odd, sampler).count() == odd.count() - 3
     sampler, scored = rs.fitted(none, labels)
     assert scored.count() == 0 and rs.kept_documents(none, sampler).count() == 0
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Labelled documents of sf0.1: doc_id, text, lang, quality, toxic, kept, words."""
+    docs, labels = (read(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
+    sampler, scored = rs.fitted(docs, labels)
+    out = scored.withColumn("kept", scored["key"] >= sampler.least).join(docs, "doc_id").join(labels, "doc_id").toPandas()
+    out["words"] = out["text"].str.split().str.len()
+    return out
+
+
+def test_long_good_documents_are_not_rejected_in_bulk(judged):
+    good = judged[(judged["quality"] == 1) & (judged["toxic"] == 0)]
+    for low, high in ((0, 100), (100, 500), (500, 1000), (1000, 2000), (2000, 5000)):
+        band = good[(good["words"] >= low) & (good["words"] < high)]
+        assert (~band["kept"]).mean() < 0.06, (low, high)
