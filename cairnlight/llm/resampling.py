@@ -1,11 +1,13 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed n-grams (words and marks, and pairs of them): one of the target texts, which are the
-labelled documents of good quality and without abuse, and one of the raw text, which is every document. A document's
-log ratio is the mean of log(target / raw) over its n-grams, shrunk: an n-gram counts only where the target model is
-significantly below the raw one, in each of two independent hash rows, so that neither chance nor a collision weighs.
-Its weight is that mean in standard deviations of the labelled good documents, whose variance is fitted as a constant
-plus a share that falls with the number of n-grams: a text's length alone does not move its weight.
+Two generative models of hashed n-grams of three kinds (words and marks, pairs of them, and runs of six bytes, which see
+families of rare words): one of the target texts, which are the labelled documents of good quality and without abuse,
+and one of the raw text, which is every document. A document's log ratio is, for each kind, the mean over its n-grams of
+min(0, log(target / raw)), smoothed by a prior count, without what the document itself adds to either model, so that
+labelled and other documents are on the same footing. An n-gram's ratio is the larger of two independent hash rows, so
+that a collision with a bad one does not condemn it. Its weight is the sum over the kinds of that mean in standard
+deviations of the labelled good documents, whose variance is fitted as a constant plus a share that falls with the
+number of n-grams: a text's length alone does not move its weight.
 Documents are then drawn without replacement in proportion to their weights by Gumbel top-k: the k largest of
 log weight / temperature + Gumbel noise, with noise that is a function of doc_id. k is the number of documents whose
 weight is at least that of all but ``spare`` of the labelled good ones.
@@ -37,14 +39,32 @@ from .tokens import U
 TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^\s0-9a-z_\x80-\xff]+")
 BITS = 18
 SIZE = 1 << BITS
-SIGNIFICANT, LEAST = 4.5, 1.0
-
-
-def n_grams(text: bytes) -> np.ndarray:
-    """Places in the two hash rows, as an array of shape (2, n-grams)."""
-    h = tk.hashed(TOKEN.findall(text.lower()))
-    x = np.concatenate([h, tk.mixed(h[:-1] * tk.GOLD + h[1:])])
-    return np.stack([x >> U(64 - BITS), (x & U(SIZE - 1)) + U(SIZE)]).astype(np.int64)
+KINDS, RUN = 3, 6
+#: What is added to the counts of both models, by kind: a kind that is seen less often for what it tells needs more.
+PRIOR = (2.0, 5.0, 20.0)
+STATS = [f"{what}{k}" for what in ("mean", "n") for k in range(KINDS)]
+ID = "doc_id"
+
+
+def n_grams(text: bytes) -> list[np.ndarray]:
+    """64-bit hashes of each kind of n-gram; no runs of bytes in a text without words."""
+    text = text.lower()
+    h = tk.hashed(TOKEN.findall(text))
+    run = np.zeros(0, U)
+    if len(h) and len(text) >= RUN:
+        b = np.frombuffer(text, np.uint8).astype(U)
+        n = len(b) - RUN + 1
+        run = b[:n].copy()
+        for k in range(1, RUN):
+            run = run << U(8) | b[k : k + n]
+        run = tk.mixed(run * tk.GOLD + U(RUN))
+    return [h, tk.mixed(h[:-1] * tk.GOLD + h[1:]), run]
+
+
+def places(x: np.ndarray, kind: int) -> np.ndarray:
+    """Places in the two hash rows of a kind, as an array of shape (2, n-grams)."""
+    start = 2 * SIZE * kind
+    return np.stack([x >> U(64 - BITS), (x & U(SIZE - 1)) + U(SIZE)]).astype(np.int64) + start
 
 
 def labelled(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,37 +76,45 @@ def labelled(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray
     return rows["doc_id"].to_numpy(np.int64), rows["good"].to_numpy(bool)
 
 
-def counts(documents: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram counts of all documents and of the target ones. What comes to the driver has a fixed size."""
-    target = ids[good]
+def counts(documents: DataFrame, target: np.ndarray) -> np.ndarray:
+    """N-gram counts of all documents and of the target ones, of shape (2, places); ``target``: sorted doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, 2 * SIZE), np.int64)
+        both = np.zeros((2, KINDS * 2 * SIZE), np.int64)
         for batch in tk.slices(batches):
             wanted = np.isin(np.asarray(batch.column(0).fill_null(-1)), target)
-            places = [n_grams(t) for t in tk.texts(batch)]
-            for kind in (0, 1):
-                mine = [p.ravel() for p, w in zip(places, wanted, strict=True) if not kind or w]
-                if mine:
-                    both[kind] += np.bincount(np.concatenate(mine), minlength=2 * SIZE)
-        at = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[0][at]), pa.array(both[1][at])], ["place", "raw", "target"])
-
-    sums = documents.select("doc_id", "text").mapInArrow(run, "place int, raw long, target long").groupBy("place").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    out = np.zeros((2, 2 * SIZE))
-    out[0, sums["place"]] = sums["raw"]
-    out[1, sums["place"]] = sums["target"]
-    return out[0], out[1]
-
-
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Shrunk log(target / raw) of every place."""
-    if not target.sum():
-        return np.zeros(len(raw), np.float32)
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + 0.5) / (expected + 0.5))
-    sure = (expected - target) / np.sqrt(expected + 1) >= SIGNIFICANT
-    return np.where(sure & (ratio <= -LEAST), ratio, 0).astype(np.float32)
+            for t, w in zip(tk.texts(batch), wanted, strict=True):
+                for kind, x in enumerate(n_grams(t)):
+                    at = places(x, kind).ravel()
+                    for row in both[: 1 + w]:
+                        np.add.at(row, at, 1)
+        yield from tk.blocks(both)
+
+    return tk.summed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, tk.BLOCK), (2, KINDS * 2 * SIZE))
+
+
+class Ratio:
+    """log(target / raw) of n-grams, from the counts of both models."""
+
+    def __init__(self, both: np.ndarray) -> None:
+        self.raw, self.target = both.astype(np.float32)
+        sums = both.reshape(2, KINDS, -1).sum(2)
+        self.share = sums[1] / np.maximum(sums[0], 1)
+        self.known = bool(sums[1].any())
+
+    def means(self, text: bytes, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Mean of the negative log ratios of a text, and the number of n-grams, by kind; ``own``: it is a target."""
+        mean, n = np.zeros(KINDS), np.zeros(KINDS)
+        for kind, x in enumerate(n_grams(text)):
+            n[kind] = len(x)
+            if len(x) and self.known:
+                x, c = np.unique(x, return_counts=True)
+                at = places(x, kind)
+                target = np.maximum(self.target[at] - c, 0) if own else self.target[at]
+                expected = np.maximum(self.raw[at] - c, 0) * self.share[kind]
+                ratio = np.log((target + PRIOR[kind]) / (expected + PRIOR[kind])).max(0)
+                mean[kind] = (np.minimum(ratio, 0) * c).sum() / n[kind]
+        return mean, n
 
 
 def gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
@@ -95,19 +123,16 @@ def gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def means(batch: pa.RecordBatch, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log ratio of each text's n-grams, NaN without any, and their number."""
-    mean, n = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows)
-    for k, t in enumerate(tk.texts(batch)):
-        places = n_grams(t)
-        n[k] = places.shape[1]
-        if n[k]:
-            mean[k] = ratio[places].max(0).mean(dtype=np.float64)
-    return mean, n
+def means(batch: pa.RecordBatch, ratio: Ratio, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log ratio of each text's n-grams, and their number, of shape (texts, kinds)."""
+    own = np.isin(np.asarray(batch.column(batch.schema.get_field_index(ID)).fill_null(-1)), target)
+    found = [ratio.means(t, o) for t, o in zip(tk.texts(batch), own, strict=True)]
+    return tuple(np.array([f[k] for f in found]).reshape(-1, KINDS) for k in (0, 1))
 
 
 def spread(mean: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Centre of ``mean``, and the two parts of its variance, a + b / n (least squares)."""
+    mean, n = mean[n > 0], n[n > 0]
     if not len(mean):
         return np.array([0.0, 1.0, 0.0])
     centre = mean.mean()
@@ -117,13 +142,15 @@ def spread(mean: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def standard(mean: np.ndarray, n: np.ndarray, fit: np.ndarray) -> np.ndarray:
-    return (mean - fit[0]) / np.sqrt(fit[1] + fit[2] / np.maximum(n, 1))
+    """Weights; a kind that a text has none of adds nothing, and a text without words has NaN."""
+    z = (mean - fit[:, 0]) / np.sqrt(fit[:, 1] + fit[:, 2] / np.maximum(n, 1))
+    return np.where(n[:, 0] > 0, np.where(n > 0, z, 0).sum(1), np.nan)
 
 
-def weights(batch: pa.RecordBatch, ratio: np.ndarray, fit: np.ndarray, temperature: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def weights(batch: pa.RecordBatch, model: tuple[Ratio, np.ndarray], fit: np.ndarray, temperature: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and keys of a batch with columns doc_id and text; NaN without n-grams."""
     ids = np.asarray(batch.column(batch.schema.get_field_index("doc_id")).fill_null(-1), np.int64)
-    w = standard(*means(batch, ratio), fit)
+    w = standard(*means(batch, *model), fit)
     return w, w + temperature * gumbel(ids, seed)
 
 
@@ -153,28 +180,30 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float:
 
 
 class Sampler:
-    """A fitted model: the shrunk ratio of every place, good documents' spread, and the key that a kept one has at least."""
+    """A fitted model: the ratio and the targets, good documents' spread, and the key that a kept document has at least."""
 
-    def __init__(self, ratio: np.ndarray, fit: np.ndarray, least: float, temperature: float, seed: int) -> None:
-        self.ratio, self.fit, self.least, self.temperature, self.seed = ratio, fit, least, temperature, seed
+    def __init__(self, model: tuple[Ratio, np.ndarray], fit: np.ndarray, least: float, temperature: float, seed: int) -> None:
+        self.model, self.fit, self.least, self.temperature, self.seed = model, fit, least, temperature, seed
 
 
 def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, spare: float = 0.02, temperature: float = 0.05, seed: int = 6) -> tuple[Sampler, DataFrame]:
     """The sampler, and doc_id, weight, key of every document (a written table)."""
     ids, good = labelled(labels, max_labels)
-    ratio = log_ratio(*counts(documents, ids, good))
-    shared = documents.sparkSession.sparkContext.broadcast(ratio)
     target = ids[good]
+    model = Ratio(counts(documents, target)), target
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
-            mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(0).fill_null(-1)), target)))
-            mean, n = means(mine, shared.value)
-            yield pa.RecordBatch.from_arrays([mine.column(0), pa.array(mean, from_pandas=True), pa.array(n)], ["doc_id", "mean", "n"])
+            mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(0).fill_null(-1)), shared.value[1])))
+            mean, n = means(mine, *shared.value)
+            yield pa.RecordBatch.from_arrays([mine.column(0), *map(pa.array, np.c_[mean, n].T)], ["id", *STATS])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = texts.mapInArrow(known, "doc_id long, mean double, n double").where("mean is not null").groupBy("doc_id").agg(F.min("mean").alias("mean"), F.min("n").alias("n")).toPandas()
-    fit = spread(each["mean"].to_numpy(), each["n"].to_numpy())
+    per = texts.mapInArrow(known, f"id long, {', '.join(f'{c} double' for c in STATS)}").groupBy("id").agg(*[F.min(c).alias(c) for c in STATS])
+    mean, n = np.hsplit(per.toPandas()[STATS].to_numpy(), 2)
+    fit = np.stack([spread(mean[:, k], n[:, k]) for k in range(KINDS)])
+    mine = np.sort(standard(mean, n, fit)[n[:, 0] > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
@@ -182,17 +211,14 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, sp
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], ["doc_id", "weight", "key"])
 
     scored = written(texts.mapInArrow(run, "doc_id long, weight double, key double"), "weights")
-    least = -math.inf
-    if good.any():
-        mine = scored.join(F.broadcast(scored.sparkSession.createDataFrame([(int(i),) for i in ids[good]], "doc_id long")), "doc_id", "left_semi")
-        least = mine.agg(F.percentile_approx("weight", F.lit(spare), F.lit(10_000))).first()[0]
-    k = scored.where(F.col("weight") >= (least if least is not None else -math.inf)).count()
-    return Sampler(ratio, fit, kth_largest(scored, "key", k), temperature, seed), scored
+    least = mine[max(0, math.ceil(spare * len(mine)) - 1)] if len(mine) else -math.inf
+    k = scored.where(F.col("weight") >= float(least)).count()
+    return Sampler(model, fit, kth_largest(scored, "key", k), temperature, seed), scored
 
 
 def kept_documents(documents: DataFrame, sampler: Sampler) -> DataFrame:
     """The rows of ``documents`` that were drawn, all columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(sampler.ratio)
+    shared = documents.sparkSession.sparkContext.broadcast(sampler.model)
     fit, least, temperature, seed = sampler.fit, sampler.least, sampler.temperature, sampler.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

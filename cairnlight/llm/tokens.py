@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U = np.uint64
 GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -60,3 +61,41 @@ def hashed(tokens: list[bytes]) -> np.ndarray:
     low = np.fromiter(map(zlib.crc32, tokens), U, n)
     high = np.fromiter(map(zlib.adler32, tokens), U, n)
     return mixed(low | high << U(32))
+
+
+#: Counts of places travel as blocks of places, added up before they come to the driver.
+BLOCK, WIDE = "block int, data binary", 1024
+
+
+def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``counts``, of shape (rows, places): places that have any, and their counts row by row."""
+    block: list[int] = []
+    data: list[bytes] = []
+    for start in range(0, counts.shape[1], WIDE):
+        part = counts[:, start : start + WIDE]
+        at = np.flatnonzero(part.any(0))
+        if len(at):
+            block.append(start // WIDE)
+            data.append(at.astype(np.uint16).tobytes() + part[:, at].astype(np.int64).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+
+def _added(data: list[bytes], rows: int) -> np.ndarray:
+    out = np.zeros((rows, WIDE), np.int64)
+    for d in data:
+        n = len(d) // (2 + 8 * rows)
+        out[:, np.frombuffer(d, np.uint16, n)] += np.frombuffer(d, np.int64, n * rows, 2 * n).reshape(rows, n)
+    return out
+
+
+def summed(sent: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of all tasks' ``blocks``, added up by block on the executors."""
+
+    def add(group: pa.Table) -> pa.Table:
+        [whole] = blocks(_added(group.column("data").to_pylist(), shape[0]))
+        return pa.table({"block": group.column("block")[:1], "data": whole.column(1)})
+
+    out = np.zeros((shape[0], -(-shape[1] // WIDE) * WIDE), np.int64)
+    for block, data in sent.groupBy("block").applyInArrow(add, BLOCK).collect():
+        out[:, block * WIDE : (block + 1) * WIDE] = _added([bytes(data)], shape[0])
+    return out[:, : shape[1]]

@@ -92,3 +92,10 @@ def test_long_good_documents_are_not_rejected_in_bulk(judged):
     for low, high in ((0, 100), (100, 500), (500, 1000), (1000, 2000), (2000, 5000)):
         band = good[(good["words"] >= low) & (good["words"] < high)]
         assert (~band["kept"]).mean() < 0.06, (low, high)
+
+
+def test_toxic_documents_are_found_in_every_language(judged):
+    toxic = judged[judged["toxic"] == 1]
+    assert (~toxic["kept"]).mean() > 0.85
+    for lang, rows in toxic.groupby("lang"):
+        assert (~rows["kept"]).mean() > 0.5, lang
