@@ -2,7 +2,8 @@
 
 Two generative models of hashed n-grams of three kinds (words and marks, pairs of them, and runs of six bytes, which see
 families of rare words): one of the target texts, which are the labelled documents of good quality and without abuse,
-and one of the raw text, which is every document. A document's log ratio is, for each kind, the mean over its n-grams of
+and one of the raw text, which is every document. Both count a text once, however many rows hold it; a text is a target if a
+label of one of its rows is good and none is bad. A document's log ratio is, for each kind, the mean over its n-grams of
 min(0, log(target / raw)), smoothed by a prior count, without what the document itself adds to either model, so that
 labelled and other documents are on the same footing. An n-gram's ratio is the larger of two independent hash rows, so
 that a collision with a bad one does not condemn it. Its weight is the sum over the kinds of that mean in standard
@@ -43,7 +44,8 @@ KINDS, RUN = 3, 6
 #: What is added to the counts of both models, by kind: a kind that is seen less often for what it tells needs more.
 PRIOR = (2.0, 5.0, 20.0)
 STATS = [f"{what}{k}" for what in ("mean", "n") for k in range(KINDS)]
-ID = "doc_id"
+ID = "_text_hash"
+COPY_BITS, BITMAP = 1 << 24, 1 << 15
 
 
 def n_grams(text: bytes) -> list[np.ndarray]:
@@ -76,21 +78,66 @@ def labelled(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray
     return rows["doc_id"].to_numpy(np.int64), rows["good"].to_numpy(bool)
 
 
+def hashes(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and a 64-bit hash of the text."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias(ID))
+
+
+def targets(documents: DataFrame, ids: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Hashes, sorted, of the texts with a good label and no bad one."""
+    if not good.any():
+        return np.zeros(0, np.int64)
+    told = documents.sparkSession.createDataFrame([(int(i), bool(g)) for i, g in zip(ids, good, strict=True)], "doc_id long, good boolean")
+    per = hashes(documents).select("doc_id", ID).join(F.broadcast(told), "doc_id").groupBy(ID).agg(F.min("good").alias("good"))
+    return np.sort(per.where("good").toPandas()[ID].to_numpy(np.int64))
+
+
+def copied(texts: DataFrame) -> np.ndarray:
+    """A bit for each of ``COPY_BITS`` residues of hashes: some text with it has several rows. Of fixed size."""
+    residue = F.pmod(F.col(ID), F.lit(COPY_BITS))
+    many = texts.groupBy(ID).count().where("count > 1").select(residue.alias("r"))
+    per = many.groupBy(F.bitmap_bucket_number("r").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("r")).alias("bits"))
+    out = np.zeros(COPY_BITS + 2 * BITMAP, bool)
+    for bucket, bits in per.collect():
+        # bucket k > 0 holds residues (k - 1) * BITMAP + 1 to k * BITMAP, and its bit i is the residue before it + i
+        own = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+        start = (bucket - 1) * BITMAP + 1 if bucket > 0 else 0
+        out[start : start + BITMAP] |= own.astype(bool)[: len(out) - start]
+    return np.packbits(out[:COPY_BITS], bitorder="little")
+
+
 def counts(documents: DataFrame, target: np.ndarray) -> np.ndarray:
-    """N-gram counts of all documents and of the target ones, of shape (2, places); ``target``: sorted doc_ids."""
+    """N-gram counts of all texts and of the target ones, each text once, of shape (2, places).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A text whose hash's residue no copied text has is counted where it is read; only the others are sent to be told apart.
+    """
+    texts = hashes(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(copied(texts))
+
+    def open_(batch: pa.RecordBatch) -> np.ndarray:
+        r = np.mod(np.asarray(batch.column(batch.schema.get_field_index(ID))), COPY_BITS)
+        return (shared.value[r >> 3] >> (r & 7).astype(np.uint8) & 1).astype(bool)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(open_(batch)))
+
+    def added(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, KINDS * 2 * SIZE), np.int64)
         for batch in tk.slices(batches):
-            wanted = np.isin(np.asarray(batch.column(0).fill_null(-1)), target)
-            for t, w in zip(tk.texts(batch), wanted, strict=True):
+            mine = batch.filter(pa.array(~open_(batch))) if single else batch
+            wanted = np.isin(np.asarray(mine.column(mine.schema.get_field_index(ID))), target)
+            for t, w in zip(tk.texts(mine), wanted, strict=True):
                 for kind, x in enumerate(n_grams(t)):
                     at = places(x, kind).ravel()
                     for row in both[: 1 + w]:
                         np.add.at(row, at, 1)
         yield from tk.blocks(both)
 
-    return tk.summed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, tk.BLOCK), (2, KINDS * 2 * SIZE))
+    pairs = texts.select("text", ID)
+    alike = pairs.mapInArrow(some, pairs.schema).groupBy(ID, F.md5("text").alias("md5")).agg(F.first("text").alias("text")).select("text", ID)
+    sent = [df.mapInArrow(lambda batches, single=single: added(batches, single), tk.BLOCK) for df, single in ((pairs, True), (alike, False))]
+    return tk.summed(sent[0].unionAll(sent[1]), (2, KINDS * 2 * SIZE))
 
 
 class Ratio:
@@ -125,7 +172,7 @@ def gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
 
 def means(batch: pa.RecordBatch, ratio: Ratio, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean log ratio of each text's n-grams, and their number, of shape (texts, kinds)."""
-    own = np.isin(np.asarray(batch.column(batch.schema.get_field_index(ID)).fill_null(-1)), target)
+    own = np.isin(np.asarray(batch.column(batch.schema.get_field_index(ID))), target)
     found = [ratio.means(t, o) for t, o in zip(tk.texts(batch), own, strict=True)]
     return tuple(np.array([f[k] for f in found]).reshape(-1, KINDS) for k in (0, 1))
 
@@ -148,7 +195,7 @@ def standard(mean: np.ndarray, n: np.ndarray, fit: np.ndarray) -> np.ndarray:
 
 
 def weights(batch: pa.RecordBatch, model: tuple[Ratio, np.ndarray], fit: np.ndarray, temperature: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and keys of a batch with columns doc_id and text; NaN without n-grams."""
+    """Weights and keys of a batch with columns doc_id, text and its hash; NaN without n-grams."""
     ids = np.asarray(batch.column(batch.schema.get_field_index("doc_id")).fill_null(-1), np.int64)
     w = standard(*means(batch, *model), fit)
     return w, w + temperature * gumbel(ids, seed)
@@ -189,17 +236,17 @@ class Sampler:
 def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, spare: float = 0.02, temperature: float = 0.05, seed: int = 6) -> tuple[Sampler, DataFrame]:
     """The sampler, and doc_id, weight, key of every document (a written table)."""
     ids, good = labelled(labels, max_labels)
-    target = ids[good]
+    target = targets(documents, ids, good)
     model = Ratio(counts(documents, target)), target
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
-            mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(0).fill_null(-1)), shared.value[1])))
+            mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(2)), shared.value[1])))
             mean, n = means(mine, *shared.value)
-            yield pa.RecordBatch.from_arrays([mine.column(0), *map(pa.array, np.c_[mean, n].T)], ["id", *STATS])
+            yield pa.RecordBatch.from_arrays([mine.column(2), *map(pa.array, np.c_[mean, n].T)], ["id", *STATS])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = hashes(documents)
     per = texts.mapInArrow(known, f"id long, {', '.join(f'{c} double' for c in STATS)}").groupBy("id").agg(*[F.min(c).alias(c) for c in STATS])
     mean, n = np.hsplit(per.toPandas()[STATS].to_numpy(), 2)
     fit = np.stack([spread(mean[:, k], n[:, k]) for k in range(KINDS)])
@@ -224,9 +271,9 @@ def kept_documents(documents: DataFrame, sampler: Sampler) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
             _, key = weights(batch, shared.value, fit, temperature, seed)
-            yield batch.filter(pa.array(key >= least))
+            yield batch.filter(pa.array(key >= least)).drop_columns([ID])
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.withColumn(ID, F.xxhash64("text")).mapInArrow(run, documents.schema)
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

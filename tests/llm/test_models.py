@@ -99,3 +99,17 @@ def test_toxic_documents_are_found_in_every_language(judged):
     assert (~toxic["kept"]).mean() > 0.85
     for lang, rows in toxic.groupby("lang"):
         assert (~rows["kept"]).mean() > 0.5, lang
+
+
+def test_copies_of_a_text_count_once(spark):
+    rows = [(k, f"a text of its own {k} with words") for k in range(20)]
+    copies = [(100 + k, rows[3 + k % 2][1]) for k in range(50)] + [(None, rows[5][1]), (5, rows[5][1])]
+    labels = [(3, 1, 0), (100, 1, 0), (7, 1, 0), (4, 1, 0), (101, 0, 0)]
+    plain, more = (spark.createDataFrame(r, "doc_id long, text string").repartition(3) for r in (rows, rows + copies))
+    ids, good = rs.labelled(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 100)
+    target = rs.targets(more, ids, good)
+    own = {r["doc_id"]: r[rs.ID] for r in rs.hashes(plain).collect()}
+    assert sorted(target) == sorted([own[3], own[7]])
+    both = rs.counts(more, target)
+    assert (both == rs.counts(plain, target)).all()
+    assert both[0, : 2 * rs.SIZE].sum() == 2 * sum(len(t.split()) for _, t in rows)
