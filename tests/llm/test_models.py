@@ -113,3 +113,19 @@ def test_copies_of_a_text_count_once(spark):
     both = rs.counts(more, target)
     assert (both == rs.counts(plain, target)).all()
     assert both[0, : 2 * rs.SIZE].sum() == 2 * sum(len(t.split()) for _, t in rows)
+
+
+def test_trigrams_tell_95_words_apart(spark):
+    names = [f"w{k}" for k in range(95)]
+    frequent = {w.encode(): k for k, w in enumerate(names)}
+    docs = spark.createDataFrame([(k, f"{a} {b} rare{k}") for k, (a, b) in enumerate(zip(names, names[1:]))], "doc_id long, text string")
+    found = lm.unit_counts(lm._prepared(docs, 60_000), frequent)
+    want = Counter()
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
+            before, last = lm.START, lm.START
+            for w in lm.words(r["text"].encode()) + [lm.END]:
+                unit = lm.unit_of(w, frequent) if w else 0
+                want[before, last, unit] += 1
+                before, last = last, unit
+    assert found.sum() == sum(want.values()) and all(found[k] == n for k, n in want.items())
