@@ -73,7 +73,7 @@ def plain_components(docs, width, num, den):
     return {d: (len(sets[d]), comp[d]) for d in sets}
 
 
-@pytest.mark.parametrize("width, num, den, seed", [(3, 90, 100, 1), (5, 80, 100, 2), (1, 50, 100, 3)])
+@pytest.mark.parametrize("width, num, den, seed", [(3, 90, 100, 1), (5, 80, 100, 2), (1, 50, 100, 3), (2, 70, 100, 4)])
 def test_join_equals_brute_force(spark, width, num, den, seed):
     g = random.Random(seed)
     base = [[f"w{g.randint(0, 400)}" for _ in range(g.choice([1, 2, 4, 9, 11, 20, 60, 150]))] for _ in range(14)]
@@ -93,13 +93,48 @@ def test_tiles_find_what_stars_miss(spark, monkeypatch):
     """A path of texts, each near the next only; tiles of two."""
     monkeypatch.setattr(jj, "TILE", 2)
     monkeypatch.setattr(jj, "MEMBERS", 2)
-    words = [f"t{k}" for k in range(60)]
-    docs = [(k, " ".join(words[k : k + 40])) for k in (7, 3, 9, 1, 5, 0, 8, 2, 6, 4)]
-    docs += [(20 + k, " ".join(words[:30] + [f"u{k}{j}" for j in range(12)])) for k in range(6)]
+    words = [f"t{k}" for k in range(90)]
+    docs = [(k, " ".join(words[k : k + 40])) for k in (7, 3, 9, 1, 5, 0, 8, 2, 6, 4, *range(39, 9, -1))]
+    docs += [(60 + k, " ".join(words[:30] + [f"u{k}{j}" for j in range(12)])) for k in range(6)]
     got = {r["doc_id"]: r["component_id"] for r in jj.joined(spark.createDataFrame(docs, "doc_id long, text string"), 1, 90, 100).collect()}
     assert got == {d: c for d, (_, c) in plain_components(docs, 1, 90, 100).items()}
 
 
+@pytest.mark.parametrize("big, sketches", [(4096, 3), (3, 4)])
+def test_large_groups_are_dealt_out_and_split(spark, monkeypatch, big, sketches):
+    """Texts that share a passage, some of them near each other: tiles of few sketches, and groups split by partitions."""
+    monkeypatch.setattr(jj, "SKETCHES", sketches)
+    monkeypatch.setattr(jj, "BIG", big)
+    g = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = []
+    for k in range(45):
+        own = docs[g.randrange(len(docs))][1].split()[60:] if docs and g.random() < 0.5 else [f"o{g.randint(0, 500)}" for _ in range(14)]
+        own[g.randrange(len(own))] = f"x{g.randint(0, 30)}"
+        docs.append((k, passage + " " + " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in jj.joined(spark.createDataFrame(docs, "doc_id long, text string"), 1, 90, 100).collect()}
+    assert got == {d: c for d, (_, c) in plain_components(docs, 1, 90, 100).items()}
+
+
+def test_sketches_bound_the_difference():
+    g = random.Random(5)
+    import numpy as np
+
+    for _ in range(300):
+        x = set(g.sample(range(3000), g.randint(1, 700)))
+        y = {e for e in x if g.random() < 0.9} | set(g.sample(range(3000), g.randint(0, 90)))
+        a, b = (jj.sketch(np.sort(np.array(list(s), np.uint64))) for s in (x, y))
+        size = min(len(a), len(b))
+        assert np.bitwise_count(jj.folded(a, size) ^ jj.folded(b, size)).sum() <= len(x ^ y)
+
+
+def test_texts_of_one_doc_id_are_one_node(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = [(1, one), (2, two), (7, one), (7, two), (8, "else"), (None, one)]
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jj.joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert got == [("1", "1"), ("2", "1"), ("7", "1"), ("7", "1"), ("8", "8"), ("None", "None")]
+
+
 def test_neighbourhoods_stand_in_for_empty_segments():
     """Whatever differs within the bound, two sets share a hash: also with c forced to 0, where empty segments abound."""
     g = random.Random(6)
