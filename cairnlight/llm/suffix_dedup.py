@@ -3,21 +3,24 @@ r"""Removal of repeated substrings by prefix doubling.
 Removed is each byte that lies in a string of ``length`` bytes which also starts in a document of smaller doc_id.
 
 A position's rank at offset h is a name of its first h bytes. Ranks double: the name at 2h is that of the pair (name at
-p, name at p + h). Pairs of positions are sorted, positions that are alone with their rank drop out, and the rest go on
-to a larger offset, until they are unique or past ``length``. Three measures keep that within the size of the input:
+p, name at p + h). Spark sorts rows of (rank, next rank, doc_id, place) at growing offsets; the sorted rows are read in
+one pass that remembers one rank only, positions that are alone with their rank drop out, those whose pair a smaller
+document has are settled, and the rest are reranked at a larger offset, until they are unique or past ``length``. Sorts
+spill, so neither a hot rank nor a large table has to fit in memory. What keeps the rows near the size of the input:
 
 * Names are 64-bit hashes of pairs instead of places in a sorted list, so a task doubles all its positions by itself.
-* Of the positions, only one in about (length - KEY) / 2 is sorted in the first round: the one whose KEY bytes have the
-  smallest name in a window of ``length`` bytes. Equal windows choose equal positions, so a repeated string always meets
-  its other copies there. Windows in a row that choose one position form a run.
-* A round's positions are sorted by pairs (name of KEY bytes, name of the whole run). Runs that are equal to one of a
-  smaller document are removed as a whole. Of other runs that share their KEY bytes, those stay that also share half of
-  what a window adds to them, on the left or on the right: a common window has one of the two. A last round ranks each
-  single window of the first documents' runs that stay by its pair of names at the largest power of two: 128 bits.
-
-Positions whose KEY bytes stand in one document only have left after the first round; later copies of a run have left
-after the second. So copies cost a row each and never meet in pairs. Within a task, copies are settled before anything
-is sent, so that a hot string is sent once by each batch.
+* Of the positions, only one in about (length - KEY) / 2 is sorted: the one whose KEY bytes have the smallest name in a
+  window of ``length`` bytes. Equal windows choose equal positions, so a repeated string always meets its other copies
+  there. Windows in a row that choose one position form a run.
+* Round 1 sorts pairs (name of KEY bytes, name of the whole run). Runs that a smaller document has too are
+  settled as a whole; positions whose KEY bytes stand in one kind of run only are unique.
+* Round 2 ranks what stays by pairs (name of KEY bytes, 8 bits of the name of the ``half`` bytes before or after them):
+  a common window has one of the two whole, so runs that share neither pair with another document are unique.
+* Round 3 sorts each single window of the runs that stay by its pair of names at the largest power of two.
+
+Copies are settled within a batch before anything is sent, so that a hot string is sent once by each batch. Rows travel
+packed, a block for each bucket of ranks and batch, with 6 bytes a name (and the bucket's number: 3 to 16 more bits of the
+first name), so that a pair that is settled agrees in 99 bits or more; they are unpacked where they are sorted.
 
 Defined results: a null text counts as empty and keeps nothing; a text shorter than ``length`` is kept whole; a row with
 a null doc_id is kept whole and compared with nothing; rows that repeat a doc_id are no smaller than each other and each
@@ -28,26 +31,23 @@ Texts are read whole, in pieces that overlap by length - 1 bytes.
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import dropped, let_go, read, written
+from .common import dropped, let_go, read, shuffle_partitions, written
 from .tokens import U
 
 LENGTH = 50
 KEY = 24
 PIECE = 1 << 17
 PLACE_BITS = 18  # of a position within a piece
-BUCKET_BYTES = 4_000_000  # of text, for one group of ranks
-NAME_BYTES = 6  # of a name that are sent; a key's topmost bits are its bucket's number besides
+NAME_BYTES = 6  # of a name that are sent
 COUNT_BITS = 16
 
 _A, _B = U(0x9FB21C651E98DF25), U(0xD1342543DE82EF95)
@@ -147,35 +147,26 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield ranked()
 
 
-def settled(key: np.ndarray, run: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(later, open): entries equal to a run of a smaller document; entries not so that share their KEY bytes and a side
-    with another run that has another first document."""
+ENTRY = "key long, name long, doc_id long, meta long, place long"
+MARK = "doc_id long, tag long, mark long, key long, sides long, open boolean"
+
+
+def later_here(key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a pair that an entry of a smaller document has."""
     by = np.argsort(key, kind="stable")
     k = key[by]
     same = np.flatnonzero(k[1:] == k[:-1])
     by = by[np.union1d(same, same + 1)]
-    if not len(by):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    by = by[np.lexsort((doc[by], run[by], key[by]))]
-    k, r, d = key[by], run[by], doc[by]
-    new_key = np.r_[True, k[1:] != k[:-1]]
-    new_run = new_key | np.r_[True, r[1:] != r[:-1]]
-    first = d[np.maximum.accumulate(np.where(new_run, np.arange(len(d)), 0))]
-    later = d > first
-    group = np.cumsum(new_key) << 8
-    open_ = np.zeros(len(d), bool)
-    for side in (left[by], right[by]):
-        has = np.flatnonzero(side)
-        has = has[np.argsort(group[has] + side[has], kind="stable")]
-        if len(has):
-            code = group[has] + side[has]
-            at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            low, high = np.minimum.reduceat(first[has], at), np.maximum.reduceat(first[has], at)
-            open_[has] |= np.repeat(low < high, np.diff(np.r_[at, len(has)]))
-    return by[later], by[~later & open_]
-
-
-BLOB = "bucket int, n int, keys binary, names binary, sides binary, docs binary, places binary, settled boolean"
+    out = np.zeros(len(key), bool)
+    if len(by):
+        by = by[np.lexsort((doc[by], name[by], key[by]))]
+        k, r, d = key[by], name[by], doc[by]
+        new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
+        out[by] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    return out
+
+
+BLOCK = "bucket int, n int, keys binary, names binary, sides binary, docs binary, places binary, settled boolean"
 
 
 def short(x: np.ndarray) -> bytes:
@@ -190,108 +181,167 @@ def long(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(U)
 
 
-def in_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key's bucket and what is left of it, spread over the low bits: the two give the key back but for its lowest bits."""
-    high = key >> U(32)
-    bucket = high * U(buckets) >> U(32)
-    rest = (high * U(buckets) & U(0xFFFFFFFF)) << U(16) | (key & U(0xFFFFFFFF)) >> U(16)
-    return bucket.astype(np.int64), rest
+def by_byte(x: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, and so on: what repeats then stands together."""
+    return zlib.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
 
 
-def _prepared(documents: DataFrame) -> DataFrame:
-    """doc_id, tag, text: the tag tells apart rows that repeat a doc_id with other texts."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), "text")
+def bytewise(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def packed(prepared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Each batch's entries, a row for a bucket of names; copies within the batch are settled."""
+def packed(key: np.ndarray, name: np.ndarray, doc: np.ndarray, tag: np.ndarray, sides: np.ndarray, offset: np.ndarray, count: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A batch's entries, a row for each bucket (the top ``bits`` of keys); those that the batch itself settles in rows of their own.
 
-    def rows(key, name, left, right, doc, tag, offset, count, bucket, done) -> Iterator[pa.RecordBatch]:
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.r_[0, np.flatnonzero(np.diff(bucket[by])) + 1, len(by)]
-        out: list[list] = [[] for _ in range(8)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            p = by[a:b]
+    Entries stand in order of their documents: a document is named once, places are differences.
+    """
+    later = later_here(key, name, doc)
+    bucket = (key >> U(64 - bits)).astype(np.int64)
+    out: list[list] = [[] for _ in range(8)]
+    for settled in (True, False):
+        mine = np.flatnonzero(later == settled)
+        if not settled:
+            mine = mine[np.argsort(bucket[mine], kind="stable")]
+        cuts = [0, *([] if settled else (np.flatnonzero(np.diff(bucket[mine])) + 1).tolist()), len(mine)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            p = mine[a:b]
             if not len(p):
                 continue
-            # entries stand in order of their documents: a document is named once, places are differences
             new = np.flatnonzero(np.r_[True, (doc[p][1:] != doc[p][:-1]) | (tag[p][1:] != tag[p][:-1])])
             docs = np.concatenate([doc[p][new], tag[p][new], np.diff(np.r_[new, len(p)])]).astype(np.int64)
-            places = np.concatenate([np.diff(offset[p], prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.ravel(), count[p].astype(np.uint16).view(np.uint8).reshape(-1, 2).T.ravel()])
-            for column, value in zip(out, (int(bucket[p[0]]), len(p), short(key[p]), short(name[p]), np.concatenate([left[p], right[p]]).astype(np.uint8).tobytes(), zlib.compress(docs.view(np.uint8).reshape(-1, 8).T.tobytes(), 1), zlib.compress(places.tobytes(), 1), done), strict=True):
+            places = np.stack([np.diff(offset[p], prepend=0), count[p]], 1).astype(np.int32)
+            names = [b"", b"", b""] if settled else [short(key[p]), short(name[p]), sides[p].astype(np.uint16).tobytes()]
+            where = int(tk.mixed(doc[p[:1]].astype(U))[0] >> U(64 - bits)) if settled else int(bucket[p[0]])
+            for column, value in zip(out, (where, len(p), *names, by_byte(docs), by_byte(places.view(np.int64).ravel()), settled), strict=True):
                 column.append(value)
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOB.split(", ")])
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOCK.split(", ")])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], bits: int, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The entries as rows to sort, about ``size`` at a time; settled ones have a negative place."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def rows() -> pa.RecordBatch:
+        columns = [np.concatenate([h[c] for h in held]).view(np.int64) for c in range(5)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [f.split()[0] for f in ENTRY.split(", ")])
+
+    for batch in batches:
+        for bucket, n, keys, names, sides, docs, places, settled in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            d = bytewise(docs, np.int64).reshape(3, -1)
+            p = bytewise(places, np.int64).view(np.int32).reshape(-1, 2).astype(np.int64)
+            place = np.cumsum(p[:, 0]) << COUNT_BITS | p[:, 1]
+            none = np.zeros(n, U)
+            key, name = (none, none) if settled else (long(keys) | U(bucket) << U(64 - bits), long(names))
+            meta = np.repeat(d[1].astype(U) << U(32), d[2]) | (none if settled else np.frombuffer(sides, np.uint16).astype(U))
+            held.append((key, name, np.repeat(d[0], d[2]), meta, ~place if settled else place))
+            if sum(len(h[0]) for h in held) >= size:
+                yield rows()
+                held = []
+    if held:
+        yield rows()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=2_000_000):
-            ids, tags = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
-            got = list(runs(tk.texts(batch), length))
-            if not got:
-                continue
-            text, offset, count, key, name, left, right = (np.concatenate([g[k] for g in got]) for k in range(7))
-            del got
-            doc, tag = ids[text], tags[text]
-            later, _ = settled(key, name, doc, left, right)
-            bucket, key = in_bucket(key, buckets)
-            if len(later):
-                p = np.sort(later)
-                yield from rows(key[p] & U(0), name[p] & U(0), left[p], right[p], doc[p], tag[p], offset[p], count[p], np.zeros(len(p), np.int64) + int(ids[0]) % buckets, True)
-            rest = np.ones(len(doc), bool)
-            rest[later] = False
-            yield from rows(*(x[rest] for x in (key, name, left, right, doc, tag, offset, count)), bucket[rest], False)
-            del text, offset, count, key, name, doc, tag, bucket, rest, later
-        tk.give_back()
 
-    return prepared.where("doc_id is not null").mapInArrow(run, BLOB)
+def bits_of(parts: int) -> int:
+    """Bits of a name that tell its bucket: two buckets a partition or more, at most 16 bits."""
+    return min(16, (2 * parts - 1).bit_length())
 
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, name, doc, tag, offset, count, left and right side of a table's entries."""
-    parts = []
-    for n, keys, names, sides, docs, places in zip(*[table.column(c).to_pylist() for c in ("n", "keys", "names", "sides", "docs", "places")], strict=True):
-        d = np.frombuffer(zlib.decompress(docs), np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(3, -1)
-        p = np.frombuffer(zlib.decompress(places), np.uint8)
-        offset = np.cumsum(p[: 4 * n].reshape(4, n).T.copy().view(np.int32).ravel())
-        count = p[4 * n :].reshape(2, n).T.copy().view(np.uint16).ravel()
-        parts.append((long(keys), long(names), np.repeat(d[0], d[2]), np.repeat(d[1], d[2]), offset, count, np.frombuffer(sides, np.uint8, n), np.frombuffer(sides, np.uint8, n, n)))
-    if not parts:
-        return tuple(np.empty(0, t) for t in (U, U, *[np.int64] * 6))
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(8))
+def _prepared(documents: DataFrame) -> DataFrame:
+    """doc_id, tag, text: the tag tells apart rows that repeat a doc_id with other texts."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _tag_of(documents).alias("tag"), "text")
 
 
-MARK = "doc_id long, tag long, mark long, open boolean"
+def run_entries(prepared: DataFrame, length: int, bits: int) -> DataFrame:
+    """An entry for each run of each text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches, size=2_000_000):
+            ids, tags = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
+            got = list(runs(tk.texts(batch), length))
+            if got:
+                text, offset, count, key, name, left, right = (np.concatenate([g[k] for g in got]) for k in range(7))
+                yield from packed(key, name, ids[text], tags[text], left << 8 | right, offset, count, bits)
+        tk.give_back()
 
-def ranked_runs(blobs: DataFrame) -> DataFrame:
-    """Marks (offset and windows of a run) that are settled or open, from the sorted pairs of each bucket."""
+    return prepared.where("doc_id is not null").mapInArrow(run, BLOCK)
 
-    def run(table: pa.Table) -> pa.Table:
-        done = table.column("settled")
-        key, name, doc, tag, offset, count, left, right = unpacked(table.filter(pc.invert(done)))
-        later, open_ = settled(key, name, doc, left.astype(np.int64), right.astype(np.int64))
-        _, _, doc0, tag0, offset0, count0, _, _ = unpacked(table.filter(done))
-        at = np.concatenate([later, open_])
-        mark = lambda o, c: (o.astype(np.int64) << COUNT_BITS) | c.astype(np.int64)
-        tk.give_back()
-        return pa.table(
-            {
-                "doc_id": np.concatenate([doc[at], doc0]),
-                "tag": np.concatenate([tag[at], tag0]).astype(np.int64),
-                "mark": np.concatenate([mark(offset[at], count[at]), mark(offset0, count0)]),
-                "open": np.r_[np.zeros(len(later), bool), np.ones(len(open_), bool), np.zeros(len(doc0), bool)],
-            }
-        )
 
-    return blobs.groupBy("bucket").applyInArrow(run, MARK)
+def reranked(blocks: DataFrame, parts: int, others: bool) -> DataFrame:
+    """Marks of packed entries, in sorted order: settled ones, and with ``others`` those (open) whose rank other pairs have too.
 
+    One pass; it remembers the last pair, its first document, and entries of one document that wait for a second pair.
+    """
+    order = blocks.repartition(parts, "bucket").mapInArrow(lambda batches: unpacked(batches, bits_of(parts)), ENTRY).sortWithinPartitions("key", "name", "doc_id")
 
-def window_names(joined: DataFrame, length: int) -> DataFrame:
-    """left, right (the pair of names), doc_id, tag, at of each window of the open runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # key, name, first document, pairs of the key
+        waiting: list[pa.RecordBatch] = []
+
+        def told(batch: pa.RecordBatch, open_: bool) -> pa.RecordBatch:
+            key, _, doc, meta, place = (np.asarray(c) for c in batch.columns)
+            meta, place = meta.view(U), np.where(place < 0, ~place, place)
+            n = len(doc)
+            columns = (doc, (meta >> U(32)).astype(np.int64), place, key if open_ else np.zeros(n, np.int64), (meta & U(0xFFFFFFFF)).astype(np.int64) if open_ else np.zeros(n, np.int64), np.full(n, open_))
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [f.split()[0] for f in MARK.split(", ")])
+
+        for batch in batches:
+            done = np.asarray(batch.column(4)) < 0
+            if done.any():
+                yield told(batch.filter(pa.array(done)), False)
+                batch = batch.filter(pa.array(~done))
+            if not batch.num_rows:
+                continue
+            key, name, doc = (np.asarray(batch.column(c)) for c in range(3))
+            goes_on = last is not None and last[0] == key[0]
+            new_key = np.r_[not goes_on, key[1:] != key[:-1]]
+            new_pair = new_key | np.r_[not (goes_on and last[1] == name[0]), name[1:] != name[:-1]]
+            at = np.maximum.accumulate(np.where(new_pair, np.arange(len(key)), -1))
+            first = np.where(at < 0, last[2] if last else 0, doc[at])
+            later = doc > first
+            if later.any():
+                yield told(batch.filter(pa.array(later)), False)
+            group = np.cumsum(new_key) - (0 if goes_on else 1)
+            pairs = np.bincount(group, new_pair, group[-1] + 1)
+            if goes_on:
+                pairs[0] += last[3]
+            last = (key[-1], name[-1], first[-1], pairs[-1])
+            if others:
+                several = pairs >= 2
+                if not goes_on:
+                    waiting = []
+                elif several[0]:
+                    for held in waiting:
+                        yield told(held, True)
+                    waiting = []
+                elif group[-1]:
+                    waiting = []
+                mine = ~later & several[group]
+                if mine.any():
+                    yield told(batch.filter(pa.array(mine)), True)
+                if not several[-1]:
+                    waiting.append(batch.filter(pa.array(~later & (group == group[-1]))))
+
+    return order.mapInArrow(run, MARK)
+
+
+def still_open(open_: DataFrame) -> DataFrame:
+    """The open runs that share a pair of KEY bytes and a side with another document's."""
+    side = {"left": F.shiftright("sides", 8), "right": F.col("sides").bitwiseAND(0xFF)}
+    sided = open_.select("doc_id", "tag", "mark", "key", *[c.alias(n) for n, c in side.items()])
+    found = []
+    for name in side:
+        pairs = sided.where(F.col(name) > 0).groupBy("key", name).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", name)
+        found.append(sided.join(pairs.hint("merge"), ["key", name], "left_semi").select("doc_id", "tag", "mark"))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def window_entries(joined: DataFrame, length: int, bits: int) -> DataFrame:
+    """An entry for each window of the open runs."""
     big = top(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             out: list[tuple[np.ndarray, ...]] = []
             marks = batch.column(3)
             ends = np.asarray(marks.offsets)
@@ -310,31 +360,31 @@ def window_names(joined: DataFrame, length: int) -> DataFrame:
                     out.append((name[at], name[at + length - big], np.full(len(at), doc), np.full(len(at), tag), at + begin))
             if out:
                 left, right, doc, tag, at = (np.concatenate([o[k] for o in out]) for k in range(5))
-                yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int64())], ["left", "right", "doc_id", "tag", "at"])
+                yield from packed(left, right, doc, tag, np.zeros(len(at), np.int64), at, np.ones(len(at), np.int64), bits)
+
+    return joined.select("doc_id", "tag", "text", "marks").mapInArrow(run, BLOCK)
 
-    return joined.select("doc_id", "tag", "text", "marks").mapInArrow(run, "left long, right long, doc_id long, tag long, at long")
+
+def _gathered(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks"))
 
 
 def repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag, marks: the runs of windows to remove of every document that has any (a written table)."""
+    """doc_id, tag, mark: each run of windows to remove (written tables)."""
     if length < KEY + 2:
         raise ValueError(f"length is at least {KEY + 2}")
     spark = documents.sparkSession
     prepared = _prepared(documents)
-    size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-    marks = written(ranked_runs(packed(prepared, length, buckets)), "marks")
+    parts = shuffle_partitions(spark)
+    bits = bits_of(parts)
+    marks = written(reranked(run_entries(prepared, length, bits), parts, True), "marks")
     let_go(spark)
-    gathered = lambda df: df.groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks"))
-    open_ = gathered(marks.where("open").distinct())
-    named = window_names(prepared.where("doc_id is not null").join(open_, ["doc_id", "tag"]), length)
-    # the last round: windows sorted by their pair of names; the first document of a pair keeps it
-    first = F.min("doc_id").over(Window.partitionBy("left", "right"))
-    later = named.withColumn("first", first).where("first < doc_id").select("doc_id", "tag", (F.shiftleft("at", COUNT_BITS) + 1).alias("mark"))
-    out = written(gathered(marks.where("not open").select("doc_id", "tag", "mark").unionByName(later)), "repeats")
-    dropped(marks)
+    open_ = written(still_open(marks.where("open")), "open")
+    windows = window_entries(prepared.where("doc_id is not null").join(_gathered(open_), ["doc_id", "tag"]), length, bits)
+    more = written(reranked(windows, parts, False), "windows")
+    dropped(open_)
     let_go(spark)
-    return out
+    return marks.where("not open").select("doc_id", "tag", "mark").unionByName(more.select("doc_id", "tag", "mark"))
 
 
 def spans(marks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,14 +402,28 @@ def cut(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join([text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True)])
 
 
-def _marked(documents: DataFrame, found: DataFrame) -> DataFrame:
-    marks = found.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "marks")
-    tag = F.crc32(F.coalesce(documents["text"], F.lit("")).cast("binary"))
-    return documents.join(marks, (documents["doc_id"].cast("long") == marks["_doc"]) & (tag == marks["_tag"]), "left").drop("_doc", "_tag")
+def _fresh(documents: DataFrame, name: str) -> str:
+    """A column name that ``documents`` has not (names of columns are compared without case)."""
+    have = {c.lower() for c in documents.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def _marked(documents: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """``documents`` with the marks of each row's text in a further column, and the column's name."""
+    doc, tag, marks = (_fresh(documents, f"found_{n}") for n in ("doc", "tag", "marks"))
+    found = _gathered(repeats(documents.select("doc_id", "text"), length)).toDF(doc, tag, marks)
+    joined = documents.join(found.hint("merge"), (documents["doc_id"].cast("long") == found[doc]) & (_tag_of(documents) == found[tag]), "left")
+    return joined.drop(doc, tag), marks
+
+
+def _tag_of(documents: DataFrame) -> Column:
+    return F.crc32(F.coalesce(documents["text"], F.lit("")).cast("binary"))
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
-    marks = batch.column(batch.schema.get_field_index("marks"))
+def _pieces(batch: pa.RecordBatch, name: str) -> Iterator[tuple[bytes, np.ndarray]]:
+    marks = batch.column(batch.schema.get_field_index(name))
     for t, m in zip(tk.texts(batch), marks, strict=True):
         yield t, np.asarray(m.values, np.int64) if m.is_valid else np.empty(0, np.int64)
 
@@ -370,14 +434,15 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
             rows = []
-            for t, m in _pieces(batch):
+            for t, m in _pieces(batch, name):
                 begin, end = spans(m, length)
                 rows.append((len(t), int((end - begin).sum()), len(begin), hashlib.sha256(cut(t, begin, end)).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _marked(rows, repeats(rows, length)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, name = _marked(rows, length)
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def trimmed_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -390,7 +455,7 @@ def trimmed_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
             kept, valid = [], batch.column(batch.schema.get_field_index("text")).is_valid().to_pylist()
-            for (t, m), ok in zip(_pieces(batch), valid, strict=True):
+            for (t, m), ok in zip(_pieces(batch, marks), valid, strict=True):
                 kept.append(cut(t, *spans(m, length)).decode("utf-8", "ignore") if ok else None)
             out = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
             out["text"] = pa.array(kept, pa.string())
@@ -398,8 +463,8 @@ def trimmed_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) if t is not None else None for t in kept], pa.int64()).cast(out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    found = repeats(documents.select("doc_id", "text"), length)
-    return _marked(documents, found).mapInArrow(run, documents.schema)
+    marked, marks = _marked(documents, length)
+    return marked.mapInArrow(run, documents.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,35 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 140)] + [(200, 200), (301, 300), (301, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(21)} | {k: 100 for k in range(100, 140)} | {300: 300, 301: 300}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 100])
+def test_reranking_in_one_pass(spark, batch):
+    """Sorted entries read in batches of any length: settled, and open where a key has several names."""
+    g = random.Random(batch)
+    rows = [(g.randint(0, 12), g.choice([1, 1, 1, 2, 3]), g.randint(0, 5), k) for k in range(150)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        arrays = [sd.np.array(c, sd.np.int64) for c in zip(*rows, strict=True)]
+        zero = arrays[0] * 0
+        blocks = []
+        for k in range(0, 150, 10):
+            part = [a[k : k + 10] for a in (arrays[0].view(sd.U), arrays[1].view(sd.U), arrays[2], zero, zero, arrays[3], zero + 1)]
+            blocks += [b for b in sd.packed(*part, 3)]
+        table = sd.pa.Table.from_batches(blocks).to_pandas()
+        got = sd.reranked(spark.createDataFrame(table, sd.BLOCK), 4, True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first, names = {}, {}
+    for k, n, d, _ in rows:
+        first[k, n] = min(d, first.get((k, n), d))
+        names.setdefault(k, set()).add(n)
+    settled = {p for k, n, d, p in rows if d > first[k, n]}
+    open_ = {p for k, n, d, p in rows if d == first[k, n] and len(names[k]) > 1}
+    marks = [(r["mark"] >> sd.COUNT_BITS, r["open"]) for r in got]
+    assert {p for p, o in marks if not o} == settled and {p for p, o in marks if o} == open_ and len(marks) == len(set(marks))
+
+
+def test_columns_named_like_inner_ones(spark):
+    docs = spark.createDataFrame([(1, "x" * 80, 1, 2, 3), (2, "y" + "x" * 80, 4, 5, 6)], "doc_id long, text string, found_marks int, tag int, marks int")
+    assert sorted(map(tuple, sd.trimmed_documents(docs).collect())) == [(1, "x" * 80, 1, 2, 3), (2, "y", 4, 5, 6)]
