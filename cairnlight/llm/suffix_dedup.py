@@ -19,8 +19,8 @@ spill, so neither a hot rank nor a large table has to fit in memory. What keeps
 * Round 3 sorts each single window of the runs that stay by its pair of names at the largest power of two.
 
 Copies are settled within a batch before anything is sent, so that a hot string is sent once by each batch. Rows travel
-packed, a block for each bucket of ranks and batch, with 6 bytes a name (and the bucket's number: 3 to 16 more bits of the
-first name), so that a pair that is settled agrees in 99 bits or more; they are unpacked where they are sorted.
+packed, a block for each partition of ranks and batch, with the low 6 bytes of a name (a partition is a range of whole
+names, so that a pair that is settled agrees in 96 bits or more); they are unpacked where they are sorted.
 
 Defined results: a null text counts as empty and keeps nothing; a text shorter than ``length`` is kept whole; a row with
 a null doc_id is kept whole and compared with nothing; rows that repeat a doc_id are no smaller than each other and each
@@ -169,6 +169,11 @@ def later_here(key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray
 BLOCK = "bucket int, n int, keys binary, names binary, sides binary, docs binary, places binary, settled boolean"
 
 
+def in_part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges a key is in."""
+    return ((key >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
 def short(x: np.ndarray) -> bytes:
     """The low NAME_BYTES of each name."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]).tobytes()
@@ -190,13 +195,13 @@ def bytewise(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def packed(key: np.ndarray, name: np.ndarray, doc: np.ndarray, tag: np.ndarray, sides: np.ndarray, offset: np.ndarray, count: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A batch's entries, a row for each bucket (the top ``bits`` of keys); those that the batch itself settles in rows of their own.
+def packed(key: np.ndarray, name: np.ndarray, doc: np.ndarray, tag: np.ndarray, sides: np.ndarray, offset: np.ndarray, count: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A batch's entries, a row for each of ``parts`` ranges of keys; those that the batch itself settles in rows of their own.
 
     Entries stand in order of their documents: a document is named once, places are differences.
     """
     later = later_here(key, name, doc)
-    bucket = (key >> U(64 - bits)).astype(np.int64)
+    bucket = in_part(key, parts)
     out: list[list] = [[] for _ in range(8)]
     for settled in (True, False):
         mine = np.flatnonzero(later == settled)
@@ -211,14 +216,14 @@ def packed(key: np.ndarray, name: np.ndarray, doc: np.ndarray, tag: np.ndarray,
             docs = np.concatenate([doc[p][new], tag[p][new], np.diff(np.r_[new, len(p)])]).astype(np.int64)
             places = np.stack([np.diff(offset[p], prepend=0), count[p]], 1).astype(np.int32)
             names = [b"", b"", b""] if settled else [short(key[p]), short(name[p]), sides[p].astype(np.uint16).tobytes()]
-            where = int(tk.mixed(doc[p[:1]].astype(U))[0] >> U(64 - bits)) if settled else int(bucket[p[0]])
+            where = int(in_part(tk.mixed(doc[p[:1]].astype(U)), parts)[0]) if settled else int(bucket[p[0]])
             for column, value in zip(out, (where, len(p), *names, by_byte(docs), by_byte(places.view(np.int64).ravel()), settled), strict=True):
                 column.append(value)
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.bool_())
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOCK.split(", ")])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], bits: int, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterator[pa.RecordBatch], size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The entries as rows to sort, about ``size`` at a time; settled ones have a negative place."""
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -227,12 +232,12 @@ def unpacked(batches: Iterator[pa.RecordBatch], bits: int, size: int = 1 << 16)
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [f.split()[0] for f in ENTRY.split(", ")])
 
     for batch in batches:
-        for bucket, n, keys, names, sides, docs, places, settled in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for _, n, keys, names, sides, docs, places, settled in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             d = bytewise(docs, np.int64).reshape(3, -1)
             p = bytewise(places, np.int64).view(np.int32).reshape(-1, 2).astype(np.int64)
             place = np.cumsum(p[:, 0]) << COUNT_BITS | p[:, 1]
             none = np.zeros(n, U)
-            key, name = (none, none) if settled else (long(keys) | U(bucket) << U(64 - bits), long(names))
+            key, name = (none, none) if settled else (long(keys), long(names))
             meta = np.repeat(d[1].astype(U) << U(32), d[2]) | (none if settled else np.frombuffer(sides, np.uint16).astype(U))
             held.append((key, name, np.repeat(d[0], d[2]), meta, ~place if settled else place))
             if sum(len(h[0]) for h in held) >= size:
@@ -242,17 +247,12 @@ def unpacked(batches: Iterator[pa.RecordBatch], bits: int, size: int = 1 << 16)
         yield rows()
 
 
-def bits_of(parts: int) -> int:
-    """Bits of a name that tell its bucket: two buckets a partition or more, at most 16 bits."""
-    return min(16, (2 * parts - 1).bit_length())
-
-
 def _prepared(documents: DataFrame) -> DataFrame:
     """doc_id, tag, text: the tag tells apart rows that repeat a doc_id with other texts."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _tag_of(documents).alias("tag"), "text")
 
 
-def run_entries(prepared: DataFrame, length: int, bits: int) -> DataFrame:
+def run_entries(prepared: DataFrame, length: int, parts: int) -> DataFrame:
     """An entry for each run of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def run_entries(prepared: DataFrame, length: int, bits: int) -> DataFrame:
             got = list(runs(tk.texts(batch), length))
             if got:
                 text, offset, count, key, name, left, right = (np.concatenate([g[k] for g in got]) for k in range(7))
-                yield from packed(key, name, ids[text], tags[text], left << 8 | right, offset, count, bits)
+                yield from packed(key, name, ids[text], tags[text], left << 8 | right, offset, count, parts)
         tk.give_back()
 
     return prepared.where("doc_id is not null").mapInArrow(run, BLOCK)
@@ -272,7 +272,7 @@ def reranked(blocks: DataFrame, parts: int, others: bool) -> DataFrame:
 
     One pass; it remembers the last pair, its first document, and entries of one document that wait for a second pair.
     """
-    order = blocks.repartition(parts, "bucket").mapInArrow(lambda batches: unpacked(batches, bits_of(parts)), ENTRY).sortWithinPartitions("key", "name", "doc_id")
+    order = blocks.repartitionById(parts, "bucket").mapInArrow(unpacked, ENTRY).sortWithinPartitions("key", "name", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # key, name, first document, pairs of the key
@@ -336,7 +336,7 @@ def still_open(open_: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def window_entries(joined: DataFrame, length: int, bits: int) -> DataFrame:
+def window_entries(joined: DataFrame, length: int, parts: int) -> DataFrame:
     """An entry for each window of the open runs."""
     big = top(length)
 
@@ -360,7 +360,7 @@ def window_entries(joined: DataFrame, length: int, bits: int) -> DataFrame:
                     out.append((name[at], name[at + length - big], np.full(len(at), doc), np.full(len(at), tag), at + begin))
             if out:
                 left, right, doc, tag, at = (np.concatenate([o[k] for o in out]) for k in range(5))
-                yield from packed(left, right, doc, tag, np.zeros(len(at), np.int64), at, np.ones(len(at), np.int64), bits)
+                yield from packed(left, right, doc, tag, np.zeros(len(at), np.int64), at, np.ones(len(at), np.int64), parts)
 
     return joined.select("doc_id", "tag", "text", "marks").mapInArrow(run, BLOCK)
 
@@ -376,11 +376,10 @@ def repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     prepared = _prepared(documents)
     parts = shuffle_partitions(spark)
-    bits = bits_of(parts)
-    marks = written(reranked(run_entries(prepared, length, bits), parts, True), "marks")
+    marks = written(reranked(run_entries(prepared, length, parts), parts, True), "marks")
     let_go(spark)
     open_ = written(still_open(marks.where("open")), "open")
-    windows = window_entries(prepared.where("doc_id is not null").join(_gathered(open_), ["doc_id", "tag"]), length, bits)
+    windows = window_entries(prepared.where("doc_id is not null").join(_gathered(open_), ["doc_id", "tag"]), length, parts)
     more = written(reranked(windows, parts, False), "windows")
     dropped(open_)
     let_go(spark)

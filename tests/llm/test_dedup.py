@@ -182,7 +182,7 @@ def test_reranking_in_one_pass(spark, batch):
         blocks = []
         for k in range(0, 150, 10):
             part = [a[k : k + 10] for a in (arrays[0].view(sd.U), arrays[1].view(sd.U), arrays[2], zero, zero, arrays[3], zero + 1)]
-            blocks += [b for b in sd.packed(*part, 3)]
+            blocks += [b for b in sd.packed(*part, 4)]
         table = sd.pa.Table.from_batches(blocks).to_pandas()
         got = sd.reranked(spark.createDataFrame(table, sd.BLOCK), 4, True).collect()
     finally:
