@@ -19,8 +19,8 @@ spill, so neither a hot rank nor a large table has to fit in memory. What keeps
 * Round 3 sorts each single window of the runs that stay by its pair of names at the largest power of two.
 
 Copies are settled within a batch before anything is sent, so that a hot string is sent once by each batch. Rows travel
-packed, a block for each partition of ranks and batch, with the low 6 bytes of a name (a partition is a range of whole
-names, so that a pair that is settled agrees in 96 bits or more); they are unpacked where they are sorted.
+packed, a block for each partition of ranks and batch, with the low 6 bytes of a name, so that a pair that is settled
+agrees in 96 bits or more; they are unpacked where they are sorted.
 
 Defined results: a null text counts as empty and keeps nothing; a text shorter than ``length`` is kept whole; a row with
 a null doc_id is kept whole and compared with nothing; rows that repeat a doc_id are no smaller than each other and each
@@ -170,8 +170,8 @@ BLOCK = "bucket int, n int, keys binary, names binary, sides binary, docs binary
 
 
 def in_part(key: np.ndarray, parts: int) -> np.ndarray:
-    """Which of ``parts`` equal ranges a key is in."""
-    return ((key >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    """Which of ``parts`` equal ranges a key's hash is in; keys themselves are the smallest of their windows."""
+    return ((tk.mixed(key) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
 def short(x: np.ndarray) -> bytes:
@@ -196,7 +196,7 @@ def bytewise(data: bytes, kind: type) -> np.ndarray:
 
 
 def packed(key: np.ndarray, name: np.ndarray, doc: np.ndarray, tag: np.ndarray, sides: np.ndarray, offset: np.ndarray, count: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """A batch's entries, a row for each of ``parts`` ranges of keys; those that the batch itself settles in rows of their own.
+    """A batch's entries, a row for each of ``parts`` ranges of hashed keys; those that the batch itself settles in rows of their own.
 
     Entries stand in order of their documents: a document is named once, places are differences.
     """
