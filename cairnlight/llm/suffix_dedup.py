@@ -342,25 +342,24 @@ def window_entries(joined: DataFrame, length: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches, size=1_000_000):
-            out: list[tuple[np.ndarray, ...]] = []
-            marks = batch.column(3)
-            ends = np.asarray(marks.offsets)
-            flat = np.asarray(marks.values)
-            for k, (doc, tag, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tk.texts(batch), strict=True)):
-                mine = np.sort(flat[ends[k] : ends[k + 1]])
-                offset, count = mine >> COUNT_BITS, mine & ((1 << COUNT_BITS) - 1)
-                # nearby runs are named together; a group is the text from its first window to the end of its last
-                reach = np.maximum.accumulate(offset + count + length - 1)
-                cut = np.r_[0, np.flatnonzero(offset[1:] >= reach[:-1]) + 1, len(offset)]
-                for a, b in zip(cut, cut[1:], strict=False):
-                    begin, end = int(offset[a]), int(reach[b - 1])
-                    name = Names(np.frombuffer(t, np.uint8, end - begin, begin)).of(big)
-                    n = count[a:b]
-                    at = np.repeat(offset[a:b] - begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    out.append((name[at], name[at + length - big], np.full(len(at), doc), np.full(len(at), tag), at + begin))
-            if out:
-                left, right, doc, tag, at = (np.concatenate([o[k] for o in out]) for k in range(5))
-                yield from packed(left, right, doc, tag, np.zeros(len(at), np.int64), at, np.ones(len(at), np.int64), parts)
+            ids, tags, texts = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), tk.texts(batch)
+            begin = np.r_[0, np.cumsum([len(t) for t in texts])]
+            marks = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), np.asarray(batch.column(3).value_lengths()))
+            offset, count = begin[row] + (marks >> COUNT_BITS), marks & ((1 << COUNT_BITS) - 1)
+            by = np.argsort(offset, kind="stable")
+            row, offset, count = row[by], offset[by], count[by]
+            # the bytes of the runs alone, one after another, are named together
+            steps = np.zeros(begin[-1] + 1, np.int64)
+            np.add.at(steps, offset, 1)
+            np.add.at(steps, offset + count + length - 1, -1)
+            used = np.cumsum(steps)[:-1] > 0
+            new_place = np.cumsum(used) - 1
+            name = Names(np.frombuffer(b"".join(texts), np.uint8)[used]).of(big)
+            at = np.repeat(offset - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            row = np.repeat(row, count)
+            left, right = name[new_place[at]], name[new_place[at] + length - big]
+            yield from packed(left, right, ids[row], tags[row], np.zeros(len(at), np.int64), at - begin[row], np.ones(len(at), np.int64), parts)
 
     return joined.select("doc_id", "tag", "text", "marks").mapInArrow(run, BLOCK)
 
