@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Bytes of a batch that goes to Python. Spark's own bound of 64 MB is held several times by each running task.
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # nothing else was asked for
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,8 +10,8 @@ that a collision with a bad one does not condemn it. Its weight is the sum over
 deviations of the labelled good documents, whose variance is fitted as a constant plus a share that falls with the
 number of n-grams: a text's length alone does not move its weight.
 Documents are then drawn without replacement in proportion to their weights by Gumbel top-k: the k largest of
-log weight / temperature + Gumbel noise, with noise that is a function of doc_id. k is the number of documents whose
-weight is at least that of all but ``spare`` of the labelled good ones.
+log weight + temperature x Gumbel noise (1 by default), with noise that is a function of doc_id. k is a parameter; by
+default it is the number of documents whose weight is at least that of all but ``spare`` of the labelled good ones.
 
 Labels are used as a bounded sample: at most about ``max_labels`` of them, by hash of doc_id. Counts of the raw model,
 weights, k and the k-th largest key cover every document. Models have a fixed size.
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens as tk
 from .common import read, written
@@ -40,16 +41,22 @@ from .tokens import U
 TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^\s0-9a-z_\x80-\xff]+")
 BITS = 18
 SIZE = 1 << BITS
-KINDS, RUN = 3, 6
+KINDS, RUN, KIND_AT = 3, 6, 20
 #: What is added to the counts of both models, by kind: a kind that is seen less often for what it tells needs more.
 PRIOR = (2.0, 5.0, 20.0)
+SMOOTHING = np.array(PRIOR, np.float32)
 STATS = [f"{what}{k}" for what in ("mean", "n") for k in range(KINDS)]
 ID = "_text_hash"
+#: doc_id, weight, key, text, text hash beside the columns of documents.
+NAMES = [f"_resampling_{n}" for n in ("doc_id", "weight", "key", "text", "hash")]
 COPY_BITS, BITMAP = 1 << 24, 1 << 15
 
 
-def n_grams(text: bytes) -> list[np.ndarray]:
-    """64-bit hashes of each kind of n-gram; no runs of bytes in a text without words."""
+def n_grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all n-grams, which hold their kind in two bits, and how many there are of each kind.
+
+    A text without words has no runs of bytes.
+    """
     text = text.lower()
     h = tk.hashed(TOKEN.findall(text))
     run = np.zeros(0, U)
@@ -60,13 +67,19 @@ def n_grams(text: bytes) -> list[np.ndarray]:
         for k in range(1, RUN):
             run = run << U(8) | b[k : k + n]
         run = tk.mixed(run * tk.GOLD + U(RUN))
-    return [h, tk.mixed(h[:-1] * tk.GOLD + h[1:]), run]
+    kinds = (h, tk.mixed(h[:-1] * tk.GOLD + h[1:]), run)
+    n = np.array([len(x) for x in kinds])
+    x = np.concatenate(kinds) & ~(U(3) << U(KIND_AT))
+    return x | np.repeat(np.arange(KINDS, dtype=U) << U(KIND_AT), n), n
+
+
+def kind_of(x: np.ndarray) -> np.ndarray:
+    return (x >> U(KIND_AT) & U(3)).astype(np.int64)
 
 
-def places(x: np.ndarray, kind: int) -> np.ndarray:
-    """Places in the two hash rows of a kind, as an array of shape (2, n-grams)."""
-    start = 2 * SIZE * kind
-    return np.stack([x >> U(64 - BITS), (x & U(SIZE - 1)) + U(SIZE)]).astype(np.int64) + start
+def places(x: np.ndarray) -> np.ndarray:
+    """Places of n-grams in the two hash rows of their kind, as an array of shape (2, n-grams)."""
+    return np.stack([x >> U(64 - BITS), (x & U(SIZE - 1)) + U(SIZE)]).astype(np.int64) + 2 * SIZE * kind_of(x)
 
 
 def labelled(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +137,12 @@ def counts(documents: DataFrame, target: np.ndarray) -> np.ndarray:
 
     def added(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, KINDS * 2 * SIZE), np.int64)
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             mine = batch.filter(pa.array(~open_(batch))) if single else batch
             wanted = np.isin(np.asarray(mine.column(mine.schema.get_field_index(ID))), target)
-            for t, w in zip(tk.texts(mine), wanted, strict=True):
-                for kind, x in enumerate(n_grams(t)):
-                    at = places(x, kind).ravel()
-                    for row in both[: 1 + w]:
-                        np.add.at(row, at, 1)
+            for row, texts_ in enumerate((tk.texts(mine), [t for t, w in zip(tk.texts(mine), wanted, strict=True) if w])):
+                if texts_:
+                    both[row] += np.bincount(np.concatenate([places(n_grams(t)[0]).ravel() for t in texts_]), minlength=both.shape[1])
         yield from tk.blocks(both)
 
     pairs = texts.select("text", ID)
@@ -146,22 +157,22 @@ class Ratio:
     def __init__(self, both: np.ndarray) -> None:
         self.raw, self.target = both.astype(np.float32)
         sums = both.reshape(2, KINDS, -1).sum(2)
-        self.share = sums[1] / np.maximum(sums[0], 1)
+        self.share = (sums[1] / np.maximum(sums[0], 1)).astype(np.float32)
         self.known = bool(sums[1].any())
 
     def means(self, text: bytes, own: bool) -> tuple[np.ndarray, np.ndarray]:
         """Mean of the negative log ratios of a text, and the number of n-grams, by kind; ``own``: it is a target."""
-        mean, n = np.zeros(KINDS), np.zeros(KINDS)
-        for kind, x in enumerate(n_grams(text)):
-            n[kind] = len(x)
-            if len(x) and self.known:
-                x, c = np.unique(x, return_counts=True)
-                at = places(x, kind)
-                target = np.maximum(self.target[at] - c, 0) if own else self.target[at]
-                expected = np.maximum(self.raw[at] - c, 0) * self.share[kind]
-                ratio = np.log((target + PRIOR[kind]) / (expected + PRIOR[kind])).max(0)
-                mean[kind] = (np.minimum(ratio, 0) * c).sum() / n[kind]
-        return mean, n
+        x, n = n_grams(text)
+        if not len(x) or not self.known:
+            return np.zeros(KINDS), n.astype(np.float64)
+        x, c = np.unique(x, return_counts=True)
+        c = c.astype(np.float32)
+        kind, at = kind_of(x), places(x)
+        prior = SMOOTHING[kind]
+        target = np.maximum(self.target[at] - c, 0) if own else self.target[at]
+        expected = np.maximum(self.raw[at] - c, 0) * self.share[kind]
+        ratio = ((target + prior) / (expected + prior)).max(0)
+        return np.bincount(kind, np.log(np.minimum(ratio, 1)) * c, KINDS) / np.maximum(n, 1), n.astype(np.float64)
 
 
 def gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
@@ -215,7 +226,7 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float:
         if not width or width < 1e-12:
             return low
         bin_ = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).alias("bin")
-        found = dict(inside.groupBy(bin_).agg(F.count("*"), F.min(column), F.max(column)).rdd.map(lambda r: (r[0], (r[1], r[2], r[3]))).collect())
+        found = {r[0]: (r[1], r[2], r[3]) for r in inside.groupBy(bin_).agg(F.count("*"), F.min(column), F.max(column)).collect()}
         for b in sorted(found, reverse=True):
             if above + found[b][0] >= k:
                 size, low, high = found[b]
@@ -226,19 +237,17 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float:
             return rest[k - above - 1]
 
 
-class Sampler:
-    """A fitted model: the ratio and the targets, good documents' spread, and the key that a kept document has at least."""
-
-    def __init__(self, model: tuple[Ratio, np.ndarray], fit: np.ndarray, least: float, temperature: float, seed: int) -> None:
-        self.model, self.fit, self.least, self.temperature, self.seed = model, fit, least, temperature, seed
-
+def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = 20_000, spare: float = 0.02, temperature: float = 1.0, seed: int = 6, columns: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
+    """A written table of every row, in the order it was read in: ``columns`` of ``documents``, then doc_id, weight, key
+    under names that ``documents`` has not (``NAMES``); and the key that a document has at least to be drawn.
 
-def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, spare: float = 0.02, temperature: float = 0.05, seed: int = 6) -> tuple[Sampler, DataFrame]:
-    """The sampler, and doc_id, weight, key of every document (a written table)."""
+    Without ``k``, it is the number of documents whose weight is at least that of all but ``spare`` of the good ones.
+    """
+    spark = documents.sparkSession
     ids, good = labelled(labels, max_labels)
     target = targets(documents, ids, good)
     model = Ratio(counts(documents, target)), target
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
@@ -249,36 +258,35 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, sp
     texts = hashes(documents)
     per = texts.mapInArrow(known, f"id long, {', '.join(f'{c} double' for c in STATS)}").groupBy("id").agg(*[F.min(c).alias(c) for c in STATS])
     mean, n = np.hsplit(per.toPandas()[STATS].to_numpy(), 2)
-    fit = np.stack([spread(mean[:, k], n[:, k]) for k in range(KINDS)])
+    fit = np.stack([spread(mean[:, c], n[:, c]) for c in range(KINDS)])
     mine = np.sort(standard(mean, n, fit)[n[:, 0] > 0])
+    rows = documents.select(*columns, F.col("doc_id").cast("long").alias(NAMES[0]), F.col("text").alias(NAMES[3]), F.xxhash64("text").alias(NAMES[4]))
+    schema = T.StructType([*rows.schema.fields[: len(columns) + 1], T.StructField(NAMES[1], T.DoubleType()), T.StructField(NAMES[2], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
-            w, key = weights(batch, shared.value, fit, temperature, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], ["doc_id", "weight", "key"])
+        for batch in tk.slices(batches, NAMES[3]):
+            held = batch.select(range(len(columns), len(columns) + 3)).rename_columns(["doc_id", "text", ID])
+            w, key = weights(held, shared.value, fit, temperature, seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], schema.names)
 
-    scored = written(texts.mapInArrow(run, "doc_id long, weight double, key double"), "weights")
-    least = mine[max(0, math.ceil(spare * len(mine)) - 1)] if len(mine) else -math.inf
-    k = scored.where(F.col("weight") >= float(least)).count()
-    return Sampler(model, fit, kth_largest(scored, "key", k), temperature, seed), scored
+    scored = written(rows.mapInArrow(run, schema), "weights")
+    if k is None:
+        least = mine[max(0, math.ceil(spare * len(mine)) - 1)] if len(mine) else -math.inf
+        k = scored.where(F.col(NAMES[1]) >= float(least)).count()
+    out = kth_largest(scored, NAMES[2], k)
+    shared.destroy()
+    return scored, out
 
 
-def kept_documents(documents: DataFrame, sampler: Sampler) -> DataFrame:
+def kept_documents(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that were drawn, all columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(sampler.model)
-    fit, least, temperature, seed = sampler.fit, sampler.least, sampler.temperature, sampler.seed
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
-            _, key = weights(batch, shared.value, fit, temperature, seed)
-            yield batch.filter(pa.array(key >= least)).drop_columns([ID])
-
-    return documents.withColumn(ID, F.xxhash64("text")).mapInArrow(run, documents.schema)
+    scored, least = drawn(documents, labels, columns=tuple(documents.columns), **options)
+    return scored.where(F.col(NAMES[2]) >= least).select(*documents.columns)
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sampler, scored = fitted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "weight", "key", F.coalesce(F.col("key") >= sampler.least, F.lit(False)).alias("kept"))
+    scored, least = drawn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.toDF("doc_id", "weight", "key").withColumn("kept", F.coalesce(F.col("key") >= least, F.lit(False)))
 
 
 QUERIES = {"op6_importance_resampling": op6_importance_resampling}

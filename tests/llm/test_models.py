@@ -54,10 +54,10 @@ def test_resampling_drops_what_the_target_lacks(spark):
     docs = [(k, f"{good} n{k % 7} {good}") for k in range(300)] + [(1000 + k, f"{good} vile{k % 3} slur scum %%% {good} slur scum %%%") for k in range(150)] + [(5000, None), (5001, " ")]
     labels = [(i, int(i < 1000), 0) for i, _ in docs[::2]] + [(4, None, None), (0, 1, 0)]
     df, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    sampler, scored = rs.fitted(df, lb)
-    kept = {r["doc_id"] for r in scored.where(scored["key"] >= sampler.least).collect()}
+    scored, least = rs.drawn(df, lb)
+    kept = {r[0] for r in scored.where(scored[rs.NAMES[2]] >= least).collect()}
     assert not {i for i in kept if i >= 1000} and len(kept) >= 290
-    out = rs.kept_documents(df, sampler)
+    out = rs.kept_documents(df, lb)
     assert {r["doc_id"] for r in out.collect()} == kept and out.columns == df.columns
 
 
@@ -71,18 +71,65 @@ def test_kth_largest(spark):
 
 def test_resampling_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    sampler, scored = rs.fitted(odd, labels)
-    assert scored.count() == odd.count() and rs.kept_documents(odd, sampler).count() == odd.count() - 3
-    sampler, scored = rs.fitted(none, labels)
-    assert scored.count() == 0 and rs.kept_documents(none, sampler).count() == 0
+    scored, _ = rs.drawn(odd, labels)
+    kept = rs.kept_documents(odd, labels)
+    assert scored.count() == odd.count() and kept.count() == odd.count() - 3 and kept.schema == odd.schema
+    assert rs.drawn(none, labels)[0].count() == 0 and rs.kept_documents(none, labels).count() == 0
+    assert rs.kept_documents(odd, labels, k=4).count() >= 4
+
+
+def test_whole_draw_equals_brute_force(spark, sf):
+    """Counts, means, spread, weights, noise and the k-th key over all of sf0.001, by dictionaries and loops."""
+    docs, labels = (read(spark, sf, x) for x in ("documents", "labels"))
+    rows, told = docs.select("doc_id", "text").collect(), {}
+    for r in labels.collect():
+        told[r["doc_id"]] = told.get(r["doc_id"], True) and r["quality"] == 1 and r["toxic"] == 0
+    verdict: dict[str, bool] = {}
+    for r in rows:
+        if r["doc_id"] in told:
+            verdict[r["text"]] = verdict.get(r["text"], True) and told[r["doc_id"]]
+    target = {t for t, good in verdict.items() if good}
+    grams = {t: [[(k, *p) for p, k in zip(rs.places(x).T.tolist(), rs.kind_of(x).tolist())] for x in [rs.n_grams((t or "").encode())[0]]][0] for t in {r["text"] for r in rows}}
+    raw, good = Counter(), Counter()
+    for t, g in grams.items():
+        for k, a, b in g:
+            for c in (raw, good)[: 1 + (t in target)]:
+                c[k, a] += 1
+                c[k, b] += 1
+    share = [sum(n for (k, _), n in good.items() if k == kind) / sum(n for (k, _), n in raw.items() if k == kind) for kind in range(rs.KINDS)]
+    stats = {}
+    for t, g in grams.items():
+        own, sums, n = Counter(g), [0.0] * rs.KINDS, [0] * rs.KINDS
+        for (k, a, b), c in own.items():
+            ratio = max((max(good[k, p] - c * (t in target), 0) + rs.PRIOR[k]) / (max(raw[k, p] - c, 0) * share[k] + rs.PRIOR[k]) for p in (a, b))
+            sums[k] += min(0.0, math.log(ratio)) * c
+            n[k] += c
+        stats[t] = ([x / max(m, 1) for x, m in zip(sums, n)], n)
+    fit = []
+    for k in range(rs.KINDS):
+        mean, n = (np.array([stats[t][at][k] for t in target if stats[t][1][k]]) for at in (0, 1))
+        centre = mean.mean()
+        a, b = np.linalg.lstsq(np.stack([np.sqrt(n), 1 / np.sqrt(n)], 1), (mean - centre) ** 2 * np.sqrt(n), rcond=None)[0]
+        fit.append((centre, max(a, 1e-6), max(b, 1e-4)))
+    weight = {t: sum((m - c) / math.sqrt(a + b / n) for m, n, (c, a, b) in zip(*stats[t], fit) if n) for t in grams if stats[t][1][0]}
+    mine = sorted(weight[t] for t in target)
+    least = mine[max(0, math.ceil(0.02 * len(mine)) - 1)]
+    k = sum(weight.get(r["text"], -math.inf) >= least for r in rows)
+    keys = {r["doc_id"]: weight[r["text"]] + float(rs.gumbel(np.array([r["doc_id"]]), 6)[0]) for r in rows if r["text"] in weight}
+    kept = set(sorted(keys, key=keys.get, reverse=True)[:k])
+    found, cut = rs.drawn(docs, labels)
+    got = {r[0]: (r[1], r[2]) for r in found.collect()}
+    assert all(got[r["doc_id"]][0] == pytest.approx(weight[r["text"]], rel=1e-3, abs=1e-3) for r in rows if r["text"] in weight)
+    assert all(got[i][1] == pytest.approx(key, rel=1e-3, abs=1e-3) for i, key in keys.items())
+    assert {i for i, (_, key) in got.items() if key is not None and key >= cut} == kept
 
 
 @pytest.fixture(scope="module")
 def judged(spark):
     """Labelled documents of sf0.1: doc_id, text, lang, quality, toxic, kept, words."""
     docs, labels = (read(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
-    sampler, scored = rs.fitted(docs, labels)
-    out = scored.withColumn("kept", scored["key"] >= sampler.least).join(docs, "doc_id").join(labels, "doc_id").toPandas()
+    scored, least = rs.drawn(docs, labels)
+    out = scored.toDF("doc_id", "weight", "key").selectExpr("*", f"key >= {least!r}D as kept").join(docs, "doc_id").join(labels, "doc_id").toPandas()
     out["words"] = out["text"].str.split().str.len()
     return out
 
