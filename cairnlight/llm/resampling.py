@@ -144,6 +144,8 @@ def counts(documents: DataFrame, target: np.ndarray) -> np.ndarray:
                 if texts_:
                     both[row] += np.bincount(np.concatenate([places(n_grams(t)[0]).ravel() for t in texts_]), minlength=both.shape[1])
         yield from tk.blocks(both)
+        del both
+        tk.give_back()
 
     pairs = texts.select("text", ID)
     alike = pairs.mapInArrow(some, pairs.schema).groupBy(ID, F.md5("text").alias("md5")).agg(F.first("text").alias("text")).select("text", ID)
@@ -250,7 +252,7 @@ def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_lab
     shared = spark.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(2)), shared.value[1])))
             mean, n = means(mine, *shared.value)
             yield pa.RecordBatch.from_arrays([mine.column(2), *map(pa.array, np.c_[mean, n].T)], ["id", *STATS])
@@ -264,10 +266,11 @@ def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_lab
     schema = T.StructType([*rows.schema.fields[: len(columns) + 1], T.StructField(NAMES[1], T.DoubleType()), T.StructField(NAMES[2], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, NAMES[3]):
+        for batch in tk.slices(batches, NAMES[3], 1_000_000):
             held = batch.select(range(len(columns), len(columns) + 3)).rename_columns(["doc_id", "text", ID])
             w, key = weights(held, shared.value, fit, temperature, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], schema.names)
+        tk.give_back()
 
     scored = written(rows.mapInArrow(run, schema), "weights")
     if k is None:

@@ -5,7 +5,7 @@ import pytest
 
 from cairnlight.llm import jaccard_join as jj
 from cairnlight.llm import suffix_dedup as sd
-from cairnlight.llm.graph import components
+from cairnlight.llm.graph import components, in_rounds
 
 
 def plain_removed(docs, length):
@@ -166,7 +166,9 @@ def test_odd_rows(odd, none):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 140)] + [(200, 200), (301, 300), (301, 300)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    assert got == {r["node"]: r["component"] for r in in_rounds(df).collect()}
     assert got == {k: 0 for k in range(21)} | {k: 100 for k in range(100, 140)} | {300: 300, 301: 300}
 
 
