@@ -116,6 +116,29 @@ def test_large_groups_are_dealt_out_and_split(spark, monkeypatch, big, sketches)
     assert got == {d: c for d, (_, c) in plain_components(docs, 1, 90, 100).items()}
 
 
+def test_held_rows_of_a_bucket(monkeypatch):
+    """However soon rows are told: every hash that three or more have, none that one has, and two of two."""
+    for limit in (0, 5, 40, 1 << 20):
+        monkeypatch.setattr(jj, "HELD", limit)
+        g = random.Random(limit)
+        rows = [(g.randint(0, 60), k) for k in range(120)]
+        held, told = jj.Held(), []
+        for k in range(0, 120, 7):
+            part = jj.np.array(rows[k : k + 7], jj.np.int64)
+            for key, doc in held.add(part[:, 0], part[:, 1]):
+                told += zip(key.tolist(), doc.tolist())
+        (key, doc), pairs = held.rows(3)
+        told += zip(key.tolist(), doc.tolist())
+        per = {}
+        for k, d in rows:
+            per.setdefault(k, set()).add(d)
+        got = {}
+        for k, d in told:
+            got.setdefault(k, []).append(d)
+        assert all(sorted(got.get(k, [])) == sorted(d) for k, d in per.items() if len(d) > 2) and not any(k in got for k, d in per.items() if len(d) == 1)
+        assert all(k in got or set(d) in map(set, pairs.tolist()) for k, d in per.items() if len(d) == 2)
+
+
 def test_sketches_bound_the_difference():
     g = random.Random(5)
     import numpy as np
