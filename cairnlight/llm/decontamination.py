@@ -135,9 +135,10 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, size: int = BLOCK
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in tk.slices(batches):
+            for batch in tk.slices(batches, size=1_000_000):
                 rows = [(doc, shared.value.ids[item], *rest) for doc, t in zip(batch.column(0).to_pylist(), tk.texts(batch), strict=True) for item, *rest in shared.value.overlaps(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], ["doc_id", "item_id", "first_word", "last_word", "n_agreeing", "n_words"])
+            tk.give_back()
 
         found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -150,8 +151,9 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = BLOC
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in tk.slices(batches):
+            for batch in tk.slices(batches, size=1_000_000):
                 yield batch.filter(pa.array([not shared.value.overlaps(t) for t in tk.texts(batch)], pa.bool_()))
+            tk.give_back()
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents

@@ -262,6 +262,11 @@ class Vocabulary:
                 self.cache, self.older = {}, cache
         return out
 
+    def forget(self) -> None:
+        """Empty the cache at a task's end: a worker's next stage would otherwise add its own memory to it."""
+        self.cache, self.older = {}, {}
+        tk.give_back()
+
 
 def decoded(parts: list[bytes]) -> str:
     """The library's decode: bytes that are no UTF-8 become U+FFFD each, and the first space goes."""
@@ -287,11 +292,12 @@ def encoded(documents: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             keys, texts = _texts(batch)
             before = v.differ
             ids = [[int(i) for e in entries if e[0] for i in e[0].split(",")] for entries in v.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([v.differ - before] * len(keys), pa.int64())], ["doc_id", "ids", "n_differ"])
+        v.forget()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_differ long")
 
@@ -309,20 +315,23 @@ def decoded_texts(ids: DataFrame, model_file: str) -> DataFrame:
 
 
 def round_trips(documents: DataFrame, model_file: str) -> DataFrame:
-    """Per document the number of ids and digests of the ids and of the decoded text, without shipping either."""
+    """Per document the number of ids and digests of the ids and of the decoded text, without shipping either; n_differ:
+    blocks of its batch for which the agenda's ids were not the library's, which then count (0 unless the agenda errs).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             keys, texts = _texts(batch)
-            n, ids, back = [], [], []
+            n, ids, back, before = [], [], [], v.differ
             for entries in v.encode(texts):
                 n.append(sum(e[1] for e in entries))
                 ids.append(hashlib.sha256(",".join([e[0] for e in entries if e[1]]).encode()).hexdigest())
                 back.append(hashlib.sha256(decoded([e[2] for e in entries]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(back), pa.array([v.differ - before] * len(keys), pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_differ"])
+        v.forget()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differ long")
 
 
 def encoded_texts(documents: DataFrame, model_file: str) -> DataFrame:
@@ -330,7 +339,7 @@ def encoded_texts(documents: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             keys, texts = _texts(batch)
             ids, back = [], []
             for entries in v.encode(texts):
@@ -340,6 +349,7 @@ def encoded_texts(documents: DataFrame, model_file: str) -> DataFrame:
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), lists, pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+        v.forget()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
 

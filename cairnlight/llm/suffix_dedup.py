@@ -256,7 +256,7 @@ def run_entries(prepared: DataFrame, length: int, parts: int) -> DataFrame:
     """An entry for each run of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=2_000_000):
+        for batch in tk.slices(batches, size=1_500_000):
             ids, tags = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
             got = list(runs(tk.texts(batch), length))
             if got:
@@ -360,6 +360,7 @@ def window_entries(joined: DataFrame, length: int, parts: int) -> DataFrame:
             row = np.repeat(row, count)
             left, right = name[new_place[at]], name[new_place[at] + length - big]
             yield from packed(left, right, ids[row], tags[row], np.zeros(len(at), np.int64), at - begin[row], np.ones(len(at), np.int64), parts)
+        tk.give_back()
 
     return joined.select("doc_id", "tag", "text", "marks").mapInArrow(run, BLOCK)
 
