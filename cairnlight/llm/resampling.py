@@ -137,7 +137,7 @@ def counts(documents: DataFrame, target: np.ndarray) -> np.ndarray:
 
     def added(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, KINDS * 2 * SIZE), np.int64)
-        for batch in tk.slices(batches, size=1_000_000):
+        for batch in tk.slices(batches, size=500_000):
             mine = batch.filter(pa.array(~open_(batch))) if single else batch
             wanted = np.isin(np.asarray(mine.column(mine.schema.get_field_index(ID))), target)
             for row, texts_ in enumerate((tk.texts(mine), [t for t, w in zip(tk.texts(mine), wanted, strict=True) if w])):
@@ -252,7 +252,7 @@ def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_lab
     shared = spark.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=1_000_000):
+        for batch in tk.slices(batches, size=500_000):
             mine = batch.filter(pa.array(np.isin(np.asarray(batch.column(2)), shared.value[1])))
             mean, n = means(mine, *shared.value)
             yield pa.RecordBatch.from_arrays([mine.column(2), *map(pa.array, np.c_[mean, n].T)], ["id", *STATS])
@@ -266,7 +266,7 @@ def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_lab
     schema = T.StructType([*rows.schema.fields[: len(columns) + 1], T.StructField(NAMES[1], T.DoubleType()), T.StructField(NAMES[2], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, NAMES[3], 1_000_000):
+        for batch in tk.slices(batches, NAMES[3], 500_000):
             held = batch.select(range(len(columns), len(columns) + 3)).rename_columns(["doc_id", "text", ID])
             w, key = weights(held, shared.value, fit, temperature, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], schema.names)

@@ -223,7 +223,7 @@ def packed(key: np.ndarray, name: np.ndarray, doc: np.ndarray, tag: np.ndarray,
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in BLOCK.split(", ")])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterator[pa.RecordBatch], size: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """The entries as rows to sort, about ``size`` at a time; settled ones have a negative place."""
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -256,7 +256,7 @@ def run_entries(prepared: DataFrame, length: int, parts: int) -> DataFrame:
     """An entry for each run of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=1_500_000):
+        for batch in tk.slices(batches, size=500_000):
             ids, tags = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
             got = list(runs(tk.texts(batch), length))
             if got:
@@ -341,7 +341,7 @@ def window_entries(joined: DataFrame, length: int, parts: int) -> DataFrame:
     big = top(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=1_000_000):
+        for batch in tk.slices(batches, size=500_000):
             ids, tags, texts = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), tk.texts(batch)
             begin = np.r_[0, np.cumsum([len(t) for t in texts])]
             marks = batch.column(3).flatten().to_numpy(zero_copy_only=False)
@@ -431,7 +431,7 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             rows = []
             for t, m in _pieces(batch, name):
                 begin, end = spans(m, length)
@@ -452,7 +452,7 @@ def trimmed_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, size=1_000_000):
             kept, valid = [], batch.column(batch.schema.get_field_index("text")).is_valid().to_pylist()
             for (t, m), ok in zip(_pieces(batch, marks), valid, strict=True):
                 kept.append(cut(t, *spans(m, length)).decode("utf-8", "ignore") if ok else None)
