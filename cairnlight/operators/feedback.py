@@ -12,12 +12,12 @@ WARNING_VERDICTS = ("partial", "wrong", "stale")
 def streaks(feedback: DataFrame) -> DataFrame:
     """node_id, outcome, streak: the latest verdict and how many of it stand in a row. feedback: id, node_id, verdict.
 
-    Two aggregates with map-side combine instead of a window, so a node with most of the rows costs no task its memory.
+    A null verdict is an outcome like any other. Two aggregates with map-side combine instead of a window, so a node with most of the rows costs no task its memory.
     """
     last = feedback.groupBy("node_id").agg(F.max_by("verdict", "id").alias("outcome"))
     rows = feedback.join(last, "node_id")
-    broken = rows.groupBy("node_id", "outcome").agg(F.coalesce(F.max(F.when(F.col("verdict") != F.col("outcome"), F.col("id"))), F.lit(-1)).alias("since"))
-    return rows.join(broken, ["node_id", "outcome"]).where("id > since").groupBy("node_id", "outcome").agg(F.count("*").alias("streak"))
+    broken = rows.groupBy("node_id").agg(F.coalesce(F.max(F.when(~F.col("verdict").eqNullSafe(F.col("outcome")), F.col("id"))), F.lit(-1)).alias("since"))
+    return rows.join(broken, "node_id").where("id > since").groupBy("node_id", "outcome").agg(F.count("*").alias("streak"))
 
 
 def latest(feedback: DataFrame, library: str | None = None) -> DataFrame:

@@ -125,6 +125,12 @@ def test_fusion_credits_routes(spark):
     assert rows[0]["score"] == pytest.approx(1 / 62 + 2 / 61, abs=1e-8)
 
 
+def test_streaks_that_end_in_a_null_verdict(spark):
+    rows = [(1, 5, "ok"), (2, 5, None), (3, 5, None), (4, 6, None), (5, 6, "ok")]
+    got = {r["node_id"]: (r["outcome"], r["streak"]) for r in feedback.streaks(spark.createDataFrame(rows, "id long, node_id long, verdict string")).collect()}
+    assert got == {5: (None, 2), 6: ("ok", 1)}
+
+
 def test_streaks(spark):
     rows = [(1, 7, "a"), (2, 7, "b"), (3, 7, "b"), (4, 8, "a"), (5, 9, "a"), (6, 9, "a")]
     got = {r["node_id"]: (r["outcome"], r["streak"]) for r in feedback.streaks(spark.createDataFrame(rows, "id long, node_id long, verdict string")).collect()}
