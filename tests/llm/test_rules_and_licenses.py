@@ -29,11 +29,23 @@ def test_order_never_changes_a_verdict(odd):
     assert a == b
 
 
-def test_cheap_and_strict_rules_come_first(spark):
-    docs = spark.createDataFrame([(i, "###" if i % 2 else "plain words here") for i in range(40)], "doc_id long, text string")
+def test_cheap_and_strict_rules_come_first(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "### !!!" if i % 2 else "plain words here") for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(quality_rules, "costs", lambda sample, rules: {r.name: 9.0 if r.name == "symbols" else 1.0 for r in rules})
+    assert quality_rules.ordered(docs, sample_rows=1000)[0].name == "shouting"
+    monkeypatch.setattr(quality_rules, "costs", lambda sample, rules: {r.name: 9.0 if r.name == "shouting" else 1.0 for r in rules})
     assert quality_rules.ordered(docs, sample_rows=1000)[0].name == "symbols"
 
 
+def test_costs_are_measured(spark):
+    docs = spark.createDataFrame([(i, "some words of a text, " * 4000) for i in range(60)], "doc_id long, text string")
+    sample = quality_rules.features(docs).persist()
+    cost = quality_rules.costs(sample)
+    sample.unpersist()
+    assert set(cost) == {r.name for r in quality_rules.RULES} and min(cost.values()) > 0
+    assert cost["abuse"] > cost["word_length"]  # a pattern over 5 MB against two comparisons a row
+
+
 def test_license_places(spark, odd, none):
     docs = spark.createDataFrame([(20, "MIT license, mit-license; the MIT License"), (21, "GNU General Public License"), (22, "mITKicense cc by CC BY-SA"), (23, "permission is hereby granted free of charge to any person obtaining a copy of this software"), (24, "gnu general license public")], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     rows = licenses.scanned(docs.withColumn("hits", F.lit("clash"))).collect()
@@ -49,3 +61,28 @@ def test_license_places(spark, odd, none):
                 assert found.get(t.label) == ((len(at), at[0], at[-1]) if at else None)
     by = {r["doc_id"]: {h["label"] for h in r["hits"] or []} for r in rows}
     assert by[23] == {"mit-grant"} and by[24] == set()
+
+
+def test_license_query_equals_plain_code(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = licenses.op4_license_scan(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = re.findall(licenses.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r["doc_id"]] or ""))
+        base, labels, every, score = [], set(), set(), 0.0
+        for t in licenses.TEMPLATES:
+            key, first = list(t.key_words), t.key[0]
+            at = [k for k in range(len(words)) if words[k] == key[0] and words[k : k + len(key)] == key]
+            if not at:
+                continue
+            every.add(t.label)
+            for k in at:
+                stand = sum(0 <= k - first + n < len(words) and words[k - first + n] == w for n, w in enumerate(t.words))
+                score = max(score, stand / len(t.words))
+            if t.base:
+                labels.add(t.label)
+                base += at
+        assert (r["n_words"], r["n_base"]) == (len(words), len(base))
+        assert (r["first_word"], r["last_word"]) == ((min(base), max(base)) if base else (None, None))
+        assert (r["base_labels"], r["labels"]) == (",".join(sorted(labels)), ",".join(sorted(every)))
+        assert abs(r["score"] - score) < 1e-9
