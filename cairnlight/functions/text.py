@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Keyword (or whole word, marked by \b) of a section title -> kind, first match wins.
+# Keyword of a section title -> kind, first match wins. \b marks a whole word: neither a letter nor a digit
+# stands beside it, so that an underscore ends a word.
 KINDS = (
     ("flow", "data_flow"),
     ("architect", "architecture"),
@@ -68,9 +71,9 @@ def is_fence(line: Column) -> Column:
 
 def classify_kind(title: Column) -> Column:
     low = F.lower(title)
-    out = F.when(low.rlike(KINDS[0][0]), KINDS[0][1])
-    for pattern, kind in KINDS[1:]:
-        out = out.when(low.rlike(pattern), kind)
+    out = F
+    for pattern, kind in KINDS:
+        out = out.when(low.rlike(re.sub(r"\\b(\w+)\\b", r"(?<![\\p{L}\\p{N}])\1(?![\\p{L}\\p{N}])", pattern)), kind)
     return out.otherwise("section")
 
 

@@ -69,9 +69,10 @@ def mrr_deltas(runs: DataFrame) -> DataFrame:
 def curated(capture: DataFrame, known: DataFrame, verdicts: DataFrame) -> DataFrame:
     """query, action: the latest capture of each query; refuted ones are skipped first, then known ones, else promoted.
 
-    capture: ts, query, file; known: query; verdicts: query, refuted.
+    capture: ts, query, file, line (its place in the log: of captures of one time the first counts); known: query;
+    verdicts: query, refuted.
     """
-    last = capture.groupBy("query").agg(F.max_by("file", F.struct("ts", "file")).alias("file"))
+    last = capture.groupBy("query").agg(F.max_by("file", F.struct("ts", -F.col("line"))).alias("file"))
     refuted = verdicts.where("refuted").select("query", F.lit(True).alias("r")).distinct()
     rows = last.join(refuted, "query", "left").join(known.select("query", F.lit(True).alias("k")).distinct(), "query", "left")
     action = F.when(F.col("r"), "skipped-refuted").when(F.col("k"), "skipped-known").when(F.col("file").isNull(), "skipped-empty").otherwise("promoted")

@@ -23,11 +23,21 @@ def ranked(rows: DataFrame, by: list[str], order: list, limit: int | None = None
     return out.where(F.col("rank") <= limit) if limit else out
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def visible(nodes: DataFrame) -> DataFrame:
+    """library, node_id of what a search may show."""
+    return nodes.where("status in ('accepted', 'degraded')").select("library", "node_id")
+
+
+def among(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Rows of a route whose unit is among ``nodes``; all of them without."""
+    return rows if nodes is None else rows.join(nodes, ["library", "node_id"], "left_semi")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, limit: int, nodes: DataFrame | None = None) -> DataFrame:
     """query_id, node_id, score, rank. docs: library, node_id, text; queries: query_id, query.
 
     Terms of the documents are kept only where a query asks for them, before anything is grouped; statistics cover
-    every row. A term that a query says twice counts twice.
+    every row, also where ``nodes`` says which are ranked. A term that a query says twice counts twice.
     """
     terms = queries.select("query_id", F.explode(tx.query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     asked = terms.select("term").distinct()
@@ -39,7 +49,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.join(stats, "library").select("library", "term", "avgdl", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
     part = F.col("idf") * F.col("qf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(idf, ["library", "term"]).join(terms, "term").groupBy("query_id", "library", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = among(postings, nodes).join(idf, ["library", "term"]).join(terms, "term").groupBy("query_id", "library", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, ["query_id", "library"], [F.desc("score"), "node_id"], limit)
 
 
@@ -169,9 +179,11 @@ SCOPES = {"overview": ("project", "domain", "module"), "unit": ("module", "featu
 
 
 def searched(fusion: DataFrame, nodes: DataFrame, scope: str | None, limit: int) -> DataFrame:
-    """Fused hits that are visible, in scope, re-scored (``multiplier`` of the nodes) and stably sorted."""
-    visible = nodes.where("status in ('accepted', 'degraded')")
-    rows = fusion.join(visible, ["library", "node_id"])
+    """Fused hits that are visible, in scope, re-scored (``multiplier`` of the nodes) and stably sorted.
+
+    Routes must have left out invisible rows (``among``) before they were cut, or these use up the places.
+    """
+    rows = fusion.join(nodes.where("status in ('accepted', 'degraded')"), ["library", "node_id"])
     if scope:
         rows = rows.where(F.col("scope").isin(*SCOPES[scope]))
     rows = rows.withColumn("final", F.round(F.col("score") * F.col("multiplier"), 9)).withColumnRenamed("rank", "fused_rank")

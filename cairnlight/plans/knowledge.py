@@ -176,7 +176,14 @@ def placeholder_resolution(spark: SparkSession, _: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (split_units, frontmatter_fields, document_identity, first_paragraphs, claim_bullets, symbol_mentions, contract_audit, contract_gate, schema_gaps, lint_findings, claim_verification, claim_grade_counts, reference_rows, answerability, packet_warnings, unit_ancestors, subtree_claims, tagged_output, evidence_migration, lesson_context, resolve_symbols, reference_resolution, edge_dedup, code_symbols, code_edges, file_nodes, language_dispatch, graph_references, graph_deps, placeholder_resolution)}
 
-_KINDS = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{k}'" for p, k in tx.KINDS) + " ELSE 'section' END"
+# written out, so that a wrong rule of classify_kind shows
+_HAS = lambda *keys: " OR ".join(f"contains(lower(title), '{k}')" for k in keys)
+_WORD = lambda w: f"list_contains(regexp_split_to_array(lower(title), '[^\\pL\\pN]+'), '{w}')"
+_KINDS = f"""CASE WHEN {_HAS("flow")} THEN 'data_flow' WHEN {_HAS("architect")} THEN 'architecture' WHEN {_HAS("responsib")} THEN 'responsibility'
+  WHEN {_HAS("struct")} THEN 'data_structure' WHEN {_HAS("claim")} THEN 'design_decision' WHEN {_HAS("boundar")} THEN 'boundary' WHEN {_HAS("depend")} THEN 'dependency'
+  WHEN {_HAS("evidence")} THEN 'evidence' WHEN {_HAS("context")} THEN 'context' WHEN {_HAS("risk", "impact")} THEN 'impact' WHEN {_HAS("edge case", "edgecase")} THEN 'edge_case'
+  WHEN {_HAS("symptom")} THEN 'symptom' WHEN {_HAS("root cause")} OR {_WORD("cause")} THEN 'root_cause' WHEN {_WORD("fix")} OR {_HAS("resolution")} THEN 'fix'
+  WHEN {_HAS("guard", "prevention")} THEN 'guard' ELSE 'section' END"""
 _TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 #: Units of kdocs: lines, front matter, fences, headings, parents and paths (recursive).

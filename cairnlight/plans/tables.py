@@ -43,13 +43,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.vector_route(vectors, queries, 10)
 
 
-def _routes(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _routes(spark: SparkSession, sf: str, visible: DataFrame | None = None) -> dict[str, DataFrame]:
     words = table(spark, sf, "documents").select(F.col("lang").alias("library"), F.col("doc_id").alias("node_id"), tx.query_terms(F.coalesce("text", F.lit(""))).alias("w"))
     asked = _queries(spark, sf).select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query")))).alias("symbol"))
     # the second route counts distinct shared words, as units cite symbols
     hits = words.select("library", "node_id", F.explode(F.array_distinct("w")).alias("symbol")).join(asked, "symbol")
-    counted = hits.groupBy("query_id", "library", "node_id").agg(F.count("*").alias("hits"))
-    return {"bm25": retrieval.bm25(_nodes(spark, sf), _queries(spark, sf), 40), "symbol": retrieval.ranked(counted, ["query_id", "library"], [F.desc("hits"), "node_id"], 40)}
+    counted = retrieval.among(hits, visible).groupBy("query_id", "library", "node_id").agg(F.count("*").alias("hits"))
+    return {"bm25": retrieval.bm25(_nodes(spark, sf), _queries(spark, sf), 40, visible), "symbol": retrieval.ranked(counted, ["query_id", "library"], [F.desc("hits"), "node_id"], 40)}
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,13 +57,13 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Fusion, then visibility by quality label, scope by size, re-scoring by toxicity, and the ten best."""
+    """Routes over what is visible by its quality label, their fusion, scope by size, re-scoring by toxicity, the ten best."""
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.col("lang").alias("library")).join(labels, "doc_id", "left")
     status = F.when(F.col("quality") == 0, "quarantined").when(F.col("quality").isNull(), "degraded").otherwise("accepted")
     scope = F.when(F.col("n_chars") < 1000, "section").when(F.col("n_chars") < 4000, "feature").otherwise("module")
     nodes = docs.select("library", F.col("doc_id").alias("node_id"), status.alias("status"), scope.alias("scope"), F.when(F.col("toxic") == 1, 0.5).otherwise(1.0).alias("multiplier"))
-    out = retrieval.searched(retrieval.fused(_routes(spark, sf), limit=40), nodes, "unit", 10)
+    out = retrieval.searched(retrieval.fused(_routes(spark, sf, retrieval.visible(nodes)), limit=40), nodes, "unit", 10)
     return out.select("query_id", "library", "node_id", "status", "scope", "final", "rank")
 
 
@@ -171,7 +171,7 @@ def mrr_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 def eval_curate(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    capture = orders.select(F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("query"), F.col("o_orderkey").cast("string").alias("file"))
+    capture = orders.select(F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("query"), F.col("o_orderkey").cast("string").alias("file"), F.col("o_orderkey").alias("line"))
     known = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("query"))
     verdicts = table(spark, sf, "customer").select(F.col("c_custkey").alias("query"), (F.col("c_acctbal") < 0).alias("refuted"))
     return fb.curated(capture, known, verdicts)
@@ -320,7 +320,7 @@ QUERIES = {f.__name__: f for f in (hybrid_search, bm25_batch, symbol_route, vect
 _TERMS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def _bm25(library: str, limit: int) -> str:
+def _bm25(library: str, limit: int, where: str = "") -> str:
     return f"""tok AS (SELECT {library} AS library, doc_id AS node_id, {_TERMS("coalesce(text, '')")} AS w FROM documents),
 sz AS (SELECT library, node_id, len(w) AS dl FROM tok),
 st AS (SELECT library, count(*) AS n, avg(dl) AS avgdl FROM sz GROUP BY library),
@@ -328,12 +328,15 @@ po AS (SELECT library, node_id, term, count(*) AS tf FROM (SELECT library, node_
 df AS (SELECT library, term, count(*) AS df FROM po GROUP BY library, term),
 qt AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS("text")}) AS term FROM benchmark) q GROUP BY item_id, term),
 bs AS (SELECT query_id, po.library, po.node_id, round(sum(CASE WHEN ln((n - df + 0.5e0) / (df + 0.5e0)) > 0 THEN ln((n - df + 0.5e0) / (df + 0.5e0)) ELSE 1e-6 END * qf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score
-  FROM qt JOIN po USING (term) JOIN df ON df.library = po.library AND df.term = po.term JOIN st ON st.library = po.library JOIN sz ON sz.library = po.library AND sz.node_id = po.node_id GROUP BY query_id, po.library, po.node_id),
+  FROM qt JOIN po USING (term) JOIN df ON df.library = po.library AND df.term = po.term JOIN st ON st.library = po.library JOIN sz ON sz.library = po.library AND sz.node_id = po.node_id {where} GROUP BY query_id, po.library, po.node_id),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, library ORDER BY score DESC, node_id) AS rank FROM bs) q WHERE rank <= {limit})"""
 
 
-_FUSED = _bm25("lang", 40) + """,
-sy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, library ORDER BY hits DESC, node_id) AS rank FROM (SELECT query_id, library, node_id, count(*) AS hits FROM po JOIN (SELECT DISTINCT query_id, term FROM qt) a USING (term) GROUP BY query_id, library, node_id) q) z WHERE rank <= 40),
+def _fused(visible: str | None = None) -> str:
+    """Both routes and their fusion; ``visible``: a condition on po.node_id, for postings that count in no statistics."""
+    where = f"WHERE {visible}" if visible else ""
+    return _bm25("lang", 40, where) + f""",
+sy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, library ORDER BY hits DESC, node_id) AS rank FROM (SELECT query_id, library, node_id, count(*) AS hits FROM po JOIN (SELECT DISTINCT query_id, term FROM qt) a USING (term) {where} GROUP BY query_id, library, node_id) q) z WHERE rank <= 40),
 al AS (SELECT query_id, library, node_id, rank, 'bm25' AS route, 1e0 / (60 + rank) AS part FROM bm UNION ALL SELECT query_id, library, node_id, rank, 'symbol', 2e0 / (60 + rank) FROM sy),
 fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, library, node_id) AS rank FROM (SELECT query_id, library, node_id, round(sum(part), 9) AS score, string_agg(route, ',' ORDER BY route) AS routes FROM al GROUP BY query_id, library, node_id) q) z WHERE rank <= 40)"""
 
@@ -344,8 +347,8 @@ _STREAK = _FB + ", la AS (SELECT node_id, arg_max(verdict, id) AS outcome FROM f
 
 ORACLES = {
     "bm25_batch": f"WITH {_bm25('lang', 10)} SELECT query_id, library, node_id, score, rank FROM bm",
-    "rrf_fusion": f"WITH {_FUSED} SELECT query_id, library, node_id, score, routes, rank FROM fu",
-    "hybrid_search": f"""WITH {_FUSED}, lb AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+    "rrf_fusion": f"WITH {_fused()} SELECT query_id, library, node_id, score, routes, rank FROM fu",
+    "hybrid_search": f"""WITH {_fused("po.node_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 0)")}, lb AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
       nd AS (SELECT lang AS library, d.doc_id AS node_id, CASE WHEN quality = 0 THEN 'quarantined' WHEN quality IS NULL THEN 'degraded' ELSE 'accepted' END AS status, CASE WHEN n_chars < 1000 THEN 'section' WHEN n_chars < 4000 THEN 'feature' ELSE 'module' END AS scope, CASE WHEN toxic = 1 THEN 0.5e0 ELSE 1e0 END AS mul FROM documents d LEFT JOIN lb ON d.doc_id = lb.doc_id)
       SELECT query_id, library, node_id, status, scope, final, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, fr) AS rank FROM (SELECT query_id, fu.library, fu.node_id, status, scope, round(score * mul, 9) AS final, fu.rank AS fr FROM fu JOIN nd ON fu.library = nd.library AND fu.node_id = nd.node_id WHERE status <> 'quarantined' AND scope IN ('module', 'feature', 'file', 'lesson')) q) z WHERE rank <= 10""",
     "symbol_route": f"WITH r AS (SELECT p_brand || '/' || p_type AS node_id, unnest({_TERMS('p_name')}) AS symbol FROM part), a AS (SELECT DISTINCT p_brand AS query_id, unnest({_TERMS('p_name')}) AS symbol FROM part) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, node_id) AS rank FROM (SELECT query_id, node_id, count(*) AS hits FROM r JOIN a USING (symbol) GROUP BY query_id, node_id) q) z WHERE rank <= 10",
@@ -374,7 +377,7 @@ ORACLES = {
       SELECT count(*) AS n, round(sum(CASE WHEN rank = 1 THEN 1e0 ELSE 0 END) / greatest(count(*), 1), 6) AS hit_at_1, round(sum(CASE WHEN rank <= 5 THEN 1e0 ELSE 0 END) / greatest(count(*), 1), 6) AS hit_at_k, round(sum(CASE WHEN rank <= 5 THEN 1e0 / rank ELSE 0 END) / greatest(count(*), 1), 6) AS mrr FROM benchmark LEFT JOIN f ON f.query_id = item_id""",
     "mrr_deltas": """WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS run, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END), 6) AS mrr FROM orders GROUP BY 1), d AS (SELECT run, mrr, round(mrr - lag(mrr) OVER (ORDER BY run), 6) AS delta FROM r)
       SELECT run, mrr, delta, CASE WHEN delta IS NULL THEN 'first' WHEN delta > 0.005e0 THEN 'improved' WHEN delta < -0.005e0 THEN 'regressed' ELSE 'steady' END AS verdict FROM d""",
-    "eval_curate": """WITH l AS (SELECT o_custkey AS query, CAST(o_orderkey AS VARCHAR) AS file FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS rn FROM orders) q WHERE rn = 1)
+    "eval_curate": """WITH l AS (SELECT o_custkey AS query, CAST(o_orderkey AS VARCHAR) AS file FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) q WHERE rn = 1)
       SELECT query, CASE WHEN NOT (c_acctbal < 0) AND c_mktsegment <> 'BUILDING' OR c_custkey IS NULL THEN file END AS file, CASE WHEN c_acctbal < 0 THEN 'skipped-refuted' WHEN c_mktsegment = 'BUILDING' THEN 'skipped-known' ELSE 'promoted' END AS action FROM l LEFT JOIN customer ON c_custkey = query""",
     "fingerprint_status": """SELECT o_orderkey AS path, CASE WHEN o_orderstatus = 'F' THEN 'vanished' WHEN o_orderstatus = 'O' THEN 'new' WHEN length(o_orderpriority) <= 6 THEN 'unchanged' WHEN length(o_orderpriority) <= 8 THEN 'touched' ELSE 'changed' END AS status FROM orders""",
     "incremental_merge": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 0e0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders",

@@ -15,7 +15,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "title, kind",
-    [("Data Flow", "data_flow"), ("Prefix notes", "section"), ("Because", "section"), ("The Fix", "fix"), ("Root cause", "root_cause"), ("Key Claims", "design_decision"), ("Edgecase", "edge_case"), ("Structure", "data_structure")],
+    [("Data Flow", "data_flow"), ("Prefix notes", "section"), ("Because", "section"), ("The Fix", "fix"), ("quick_fix_notes", "fix"), ("fix2", "section"), ("cause_of_it", "root_cause"), ("Root cause", "root_cause"), ("Key Claims", "design_decision"), ("Edgecase", "edge_case"), ("Structure", "data_structure")],
 )
 def test_kinds(spark, title, kind):
     assert one(spark, tx.classify_kind(F.col("t")), t=title) == kind
