@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import read, written
+from .common import dropped, let_go, read, written
 from .tokens import U
 
 TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^\s0-9a-z_\x80-\xff]+")
@@ -272,6 +272,7 @@ def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_lab
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(w, from_pandas=True), pa.array(key, from_pandas=True)], schema.names)
         tk.give_back()
 
+    let_go(spark)
     scored = written(rows.mapInArrow(run, schema), "weights")
     if k is None:
         least = mine[max(0, math.ceil(spare * len(mine)) - 1)] if len(mine) else -math.inf
@@ -282,9 +283,17 @@ def drawn(documents: DataFrame, labels: DataFrame, k: int | None = None, max_lab
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that were drawn, all columns."""
-    scored, least = drawn(documents, labels, columns=tuple(documents.columns), **options)
-    return scored.where(F.col(NAMES[2]) >= least).select(*documents.columns)
+    """The rows of ``documents`` that were drawn, all columns.
+
+    A key is that of a doc_id and a text, so doc_ids and hashes of texts are all that stays on disk, not the texts.
+    """
+    doc, text = NAMES[0], "_resampling_text_hash"
+    scored, least = drawn(documents.withColumn(text, F.xxhash64("text")), labels, columns=(text,), **options)
+    kept = written(scored.where(F.col(NAMES[2]) >= least).select(doc, text).distinct(), "kept")
+    dropped(scored)
+    let_go(documents.sparkSession)
+    same = documents["doc_id"].cast("long").eqNullSafe(kept[doc]) & (F.xxhash64(documents["text"]) == kept[text])
+    return documents.join(kept.hint("merge"), same, "left_semi")
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

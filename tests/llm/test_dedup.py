@@ -225,3 +225,15 @@ def test_reranking_in_one_pass(spark, batch):
 def test_columns_named_like_inner_ones(spark):
     docs = spark.createDataFrame([(1, "x" * 80, 1, 2, 3), (2, "y" + "x" * 80, 4, 5, 6)], "doc_id long, text string, found_marks int, tag int, marks int")
     assert sorted(map(tuple, sd.trimmed_documents(docs).collect())) == [(1, "x" * 80, 1, 2, 3), (2, "y", 4, 5, 6)]
+
+
+def test_a_task_gathers_hashes_before_it_sends_blocks(spark):
+    g = random.Random(5)
+    texts = [" ".join(f"w{g.randrange(9999)}" for _ in range(1000)) for _ in range(250)]  # about 1.5 MB, three slices
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bands, buckets = jj.Bands(4, 5), 64
+    blocks = jj.index_blocks(docs, 5, bands, buckets).collect()
+    sent = [b for b in blocks if b["keys"] is not None]
+    assert len(blocks) - len(sent) == len(texts)
+    assert len(sent) == len({b["bucket"] for b in sent}) <= buckets
+    assert sum(len(b["keys"]) for b in sent) == jj.KEY_BYTES * sum(len(jj.signatures([jj.n_grams(t.encode(), 5)], bands)[0]) for t in texts)

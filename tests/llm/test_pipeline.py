@@ -1,5 +1,7 @@
+from pathlib import Path
+
 import corpus_pipeline
-from cairnlight.llm.common import read, written
+from cairnlight.llm.common import read, shared_dir, written
 from cairnlight.llm.jaccard_join import joined
 
 
@@ -18,3 +20,13 @@ def test_stages(spark, sf):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
     whole = corpus_pipeline.run(spark, sf)
     assert whole.count() == sizes[-1] and set(whole.columns) == {"doc_id", "n_tokens", "ids", "text"}
+
+
+def test_quality_leaves_no_texts_on_disk(spark, sf):
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "cairnlight"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = read(spark, sf, "documents")
+    kept = corpus_pipeline.quality(spark, docs, sf)
+    left = [spark.read.parquet(f"file://{p}") for p in set(folder.iterdir()) - before]
+    assert left and not any(c == "text" and kind == "string" for t in left for c, kind in t.dtypes)
+    assert 0 < kept.count() < docs.count() and kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
