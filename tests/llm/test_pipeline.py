@@ -1,7 +1,7 @@
 from pathlib import Path
 
 import corpus_pipeline
-from cairnlight.llm.common import read, shared_dir, written
+from cairnlight.llm.common import let_go, read, shared_dir, written
 from cairnlight.llm.jaccard_join import joined
 
 
@@ -30,3 +30,11 @@ def test_quality_leaves_no_texts_on_disk(spark, sf):
     left = [spark.read.parquet(f"file://{p}") for p in set(folder.iterdir()) - before]
     assert left and not any(c == "text" and kind == "string" for t in left for c, kind in t.dtypes)
     assert 0 < kept.count() < docs.count() and kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+
+
+def test_letting_go_collects_the_executors_heaps(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    runs = lambda: sum(b.getCollectionCount() for b in beans)
+    before = runs()
+    let_go(spark)
+    assert runs() - before >= 3  # two of the driver, one or more of the tasks, which share its heap here
