@@ -376,9 +376,11 @@ def repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     prepared = _prepared(documents)
     parts = shuffle_partitions(spark)
+    let_go(spark)
     marks = written(reranked(run_entries(prepared, length, parts), parts, True), "marks")
     let_go(spark)
     open_ = written(still_open(marks.where("open")), "open")
+    let_go(spark)
     windows = window_entries(prepared.where("doc_id is not null").join(_gathered(open_), ["doc_id", "tag"]), length, parts)
     more = written(reranked(windows, parts, False), "windows")
     dropped(open_)
