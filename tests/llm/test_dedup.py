@@ -237,3 +237,22 @@ def test_a_task_gathers_hashes_before_it_sends_blocks(spark):
     assert len(blocks) - len(sent) == len(texts)
     assert len(sent) == len({b["bucket"] for b in sent}) <= buckets
     assert sum(len(b["keys"]) for b in sent) == jj.KEY_BYTES * sum(len(jj.signatures([jj.n_grams(t.encode(), 5)], bands)[0]) for t in texts)
+
+
+def test_only_texts_that_a_comparison_needs_are_sent(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(50)] + [(3, "again"), (None, "none")], "doc_id long, text string")
+    ids = spark.createDataFrame([(3,), (7,), (7,), (None,)], "doc_id long")
+    got = sorted(tuple(r) for r in jj.texts_of(ids, docs).collect())
+    assert got == [(3, "again"), (3, "t3"), (7, "t7")]
+    monkeypatch.setattr(jj, "FEW", 1)  # too many ids to send: all rows, for the join to choose from
+    assert jj.texts_of(ids, docs).count() == 52
+
+
+def test_join_is_the_same_when_ids_are_too_many_to_send(spark, monkeypatch):
+    near = [(k, " ".join(f"w{j}" for j in range(40) if j != k)) for k in range(8)]
+    rows = near + [(20 + k, t) for k, t in near[:3]] + [(1, "another text of one"), (30, "another text of one"), (40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few = sorted(tuple(r) for r in jj.joined(docs, 2, 80, 100).collect())
+    monkeypatch.setattr(jj, "FEW", -1)
+    assert sorted(tuple(r) for r in jj.joined(docs, 2, 80, 100).collect()) == few
+    assert {r[2] for r in few if r[0] in range(8) and r[1] > 5} == {0}
