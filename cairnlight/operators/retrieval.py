@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import products
 
 # Fixed values of ranking.
 RRF_K = 60
@@ -33,6 +34,11 @@ def among(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return rows if nodes is None else rows.join(nodes, ["library", "node_id"], "left_semi")
 
 
+def merged(parts: list[DataFrame], by: list[str], limit: int) -> DataFrame:
+    """The best of all tasks' best rows."""
+    return ranked(reduce(DataFrame.unionByName, parts), by, [F.desc("score"), F.asc_nulls_last("node_id")], limit)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, nodes: DataFrame | None = None) -> DataFrame:
     """query_id, node_id, score, rank. docs: library, node_id, text; queries: query_id, query.
 
@@ -88,36 +94,12 @@ def graph_route(refs: DataFrame, edges: DataFrame, symbols: DataFrame, asked: Da
     return by_count(refs.join(near, "symbol"), limit)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
-
-
-def vector_route(vectors: DataFrame, queries: DataFrame, limit: int, least: float = MIN_COSINE, block: int = 2048) -> DataFrame:
+def vector_route(vectors: DataFrame, queries: DataFrame, limit: int, least: float = MIN_COSINE) -> DataFrame:
     """query_id, node_id, score, rank by cosine. vectors: node_id, vector; queries: query_id, vector.
 
-    A set of queries against all vectors, in blocks of queries of a bounded size; each block is one array that every
-    row of the vectors meets, so nothing but rows above the threshold is made.
+    A set of queries against all vectors, as products of blocks; only the best of a task are rows.
     """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    out, held = None, []
-
-    def against(part: list) -> DataFrame:
-        packed = spark.createDataFrame([(part,)], "qs array<struct<query_id:bigint,vector:array<float>>>")
-        pairs = vectors.join(F.broadcast(packed)).select("node_id", "vector", F.explode("qs").alias("q"))
-        scored = pairs.select("q.query_id", "node_id", F.round(cosine(F.col("vector"), F.col("q.vector")), 6).alias("score"))
-        return ranked(scored.where(F.col("score") >= least), ["query_id"], [F.desc("score"), "node_id"], limit)
-
-    for row in rows:
-        held.append((row["query_id"], [float(v) for v in row["vector"]]))
-        if len(held) == block:
-            out = against(held) if out is None else out.unionByName(against(held))
-            held = []
-    if held or out is None:
-        out = against(held) if out is None else out.unionByName(against(held))
-    return out
+    return merged([products.nearest(vectors, block, limit, least) for block in products.in_blocks(queries)], ["query_id"], limit)
 
 
 def fused(routes: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS, limit: int | None = None) -> DataFrame:
