@@ -12,7 +12,6 @@ from . import products
 
 # Fixed values of ranking.
 RRF_K = 60
-K1, B = 1.2, 0.75
 WEIGHTS = {"bm25": 1.0, "symbol": 2.0, "graph": 0.6, "vector": 0.8}
 MIN_COSINE = 0.18
 NEIGHBOURS, PER_FILE = 40, 60
@@ -39,24 +38,22 @@ def merged(parts: list[DataFrame], by: list[str], limit: int) -> DataFrame:
     return ranked(reduce(DataFrame.unionByName, parts), by, [F.desc("score"), F.asc_nulls_last("node_id")], limit)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int, nodes: DataFrame | None = None) -> DataFrame:
-    """query_id, node_id, score, rank. docs: library, node_id, text; queries: query_id, query.
+def text_routes(docs: DataFrame, queries: DataFrame, limit: int, nodes: DataFrame | None = None, hits: bool = True) -> dict[str, DataFrame]:
+    """Two routes by terms: "bm25", and "symbol", which counts distinct shared words, as units cite symbols.
 
-    Terms of the documents are kept only where a query asks for them, before anything is grouped; statistics cover
-    every row, also where ``nodes`` says which are ranked. A term that a query says twice counts twice.
+    query_id, library, node_id, score, rank. docs: library, node_id, text; queries: query_id, query. Statistics cover
+    every row, also where ``nodes`` says which are ranked. A term that a query says twice counts twice in bm25.
     """
-    terms = queries.select("query_id", F.explode(tx.query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    asked = terms.select("term").distinct()
-    tokens = docs.select("library", "node_id", tx.query_terms(F.col("text")).alias("terms"))
-    sizes = tokens.select("library", "node_id", F.size("terms").alias("dl"))
-    stats = sizes.groupBy("library").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = tokens.select("library", "node_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("library", "node_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("library", "term").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(stats, "library").select("library", "term", "avgdl", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
-    part = F.col("idf") * F.col("qf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = among(postings, nodes).join(idf, ["library", "term"]).join(terms, "term").groupBy("query_id", "library", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, ["query_id", "library"], [F.desc("score"), "node_id"], limit)
+    blocks = [products.Postings(docs, block) for block in products.in_blocks(queries)]
+    out = {"bm25": merged([p.bm25(limit, nodes) for p in blocks], ["query_id", "library"], limit)}
+    if hits:
+        out["symbol"] = merged([p.hits(limit, nodes) for p in blocks], ["query_id", "library"], limit)
+    return out
+
+
+def bm25(docs: DataFrame, queries: DataFrame, limit: int, nodes: DataFrame | None = None) -> DataFrame:
+    """The route by BM25: query_id, library, node_id, score, rank."""
+    return text_routes(docs, queries, limit, nodes, hits=False)["bm25"]
 
 
 def by_count(hits: DataFrame, limit: int | None = None) -> DataFrame:
@@ -106,7 +103,7 @@ def fused(routes: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS, lim
     """Reciprocal rank fusion: query_id, library, node_id, score, routes (names, sorted), rank."""
     rows = reduce(DataFrame.unionByName, [r.select("query_id", "library", "node_id", "rank").withColumn("route", F.lit(name)).withColumn("part", F.lit(weights[name]) / (RRF_K + F.col("rank"))) for name, r in routes.items()])
     scored = rows.groupBy("query_id", "library", "node_id").agg(F.round(F.sum("part"), 9).alias("score"), F.array_join(F.sort_array(F.collect_set("route")), ",").alias("routes"))
-    return ranked(scored, ["query_id"], [F.desc("score"), "library", "node_id"], limit)
+    return ranked(scored, ["query_id"], [F.desc("score"), F.asc_nulls_last("library"), F.asc_nulls_last("node_id")], limit)
 
 
 def context_graded(applies: Column, excludes: Column, context: Column) -> Column:
@@ -163,7 +160,7 @@ SCOPES = {"overview": ("project", "domain", "module"), "unit": ("module", "featu
 def searched(fusion: DataFrame, nodes: DataFrame, scope: str | None, limit: int) -> DataFrame:
     """Fused hits that are visible, in scope, re-scored (``multiplier`` of the nodes) and stably sorted.
 
-    Routes must have left out invisible rows (``among``) before they were cut, or these use up the places.
+    Routes must have left out invisible rows (``nodes``) before they were cut, or these use up the places.
     """
     rows = fusion.join(nodes.where("status in ('accepted', 'degraded')"), ["library", "node_id"])
     if scope:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once into the folder that executors share (``spark.checkpoint.dir``) and read from there."""
+    spark = rows.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cairnlight-')}"
+    path, schema = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", rows.schema
+    rows.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def source_files(spark: SparkSession, roots: list[str], extensions: tuple[str, ...], exclude: list[str] = (), max_bytes: int = 1024 * 1024) -> DataFrame:
     """path, mtime, size, hash, language, content of the source files under the roots; sizes are tested before contents are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)

@@ -12,7 +12,7 @@ from cairnlight.operators import products, retrieval
 from cairnlight.plans import tables
 
 SF = "/root/testdata/sf0.001"
-ROUTES = ("vector_topk",)
+ROUTES = ("bm25_batch", "vector_topk")
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +45,7 @@ def test_blocks_of_queries_make_no_difference(spark, monkeypatch):
 def test_no_plan_lists_pairs(spark):
     for name in ROUTES:
         plan = tables.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-        assert "MapInArrow" in plan and "explode(qs" not in plan
+        assert "MapInArrow" in plan and "explode(qs" not in plan and "explode(terms" not in plan
 
 
 @pytest.mark.parametrize("step", [1, 7, 500])
