@@ -28,11 +28,6 @@ def visible(nodes: DataFrame) -> DataFrame:
     return nodes.where("status in ('accepted', 'degraded')").select("library", "node_id")
 
 
-def among(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    """Rows of a route whose unit is among ``nodes``; all of them without."""
-    return rows if nodes is None else rows.join(nodes, ["library", "node_id"], "left_semi")
-
-
 def merged(parts: list[DataFrame], by: list[str], limit: int) -> DataFrame:
     """The best of all tasks' best rows."""
     return ranked(reduce(DataFrame.unionByName, parts), by, [F.desc("score"), F.asc_nulls_last("node_id")], limit)

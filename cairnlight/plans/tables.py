@@ -44,12 +44,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _routes(spark: SparkSession, sf: str, visible: DataFrame | None = None) -> dict[str, DataFrame]:
-    words = table(spark, sf, "documents").select(F.col("lang").alias("library"), F.col("doc_id").alias("node_id"), tx.query_terms(F.coalesce("text", F.lit(""))).alias("w"))
-    asked = _queries(spark, sf).select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query")))).alias("symbol"))
-    # the second route counts distinct shared words, as units cite symbols
-    hits = words.select("library", "node_id", F.explode(F.array_distinct("w")).alias("symbol")).join(asked, "symbol")
-    counted = retrieval.among(hits, visible).groupBy("query_id", "library", "node_id").agg(F.count("*").alias("hits"))
-    return {"bm25": retrieval.bm25(_nodes(spark, sf), _queries(spark, sf), 40, visible), "symbol": retrieval.ranked(counted, ["query_id", "library"], [F.desc("hits"), "node_id"], 40)}
+    return retrieval.text_routes(_nodes(spark, sf), _queries(spark, sf), 40, visible)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:

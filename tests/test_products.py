@@ -12,7 +12,7 @@ from cairnlight.operators import products, retrieval
 from cairnlight.plans import tables
 
 SF = "/root/testdata/sf0.001"
-ROUTES = ("bm25_batch", "eval_metrics", "vector_topk")
+ROUTES = ("bm25_batch", "rrf_fusion", "eval_metrics", "vector_topk")
 
 
 @pytest.fixture(scope="module")
@@ -38,12 +38,12 @@ def test_odd_tables_equal_sql(spark, odd_tables, name):
 
 def test_blocks_of_queries_make_no_difference(spark, monkeypatch):
     monkeypatch.setattr(products, "BLOCK", 13)
-    for name in ("bm25_batch", "vector_topk"):
+    for name in ("rrf_fusion", "vector_topk"):
         compare(spark, tables.QUERIES[name], tables.ORACLES[name], SF)
 
 
 def test_no_plan_lists_pairs(spark):
-    for name in ROUTES:
+    for name in (*ROUTES, "hybrid_search"):
         plan = tables.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "explode(qs" not in plan and "explode(terms" not in plan
 
